@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curator.llm.exact_dedup import exact_dedup
 from curator.llm.simhash import near_duplicates
+from curator.llm.substring_dedup import substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).drop("tie")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long repeated passages of the whole ``documents`` table."""
+    return substring_dedup(_read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text,
@@ -38,10 +44,30 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+OP10_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS s
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos
+    FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM windows) WHERE c > 1
+), each AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w
+), kept AS (
+    SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.pos) AS txt, count(*) AS n
+    FROM each e ANTI JOIN covered c ON e.doc_id = c.doc_id AND e.pos = c.pos GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, (len(w.ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op10_substring_dedup": OP10_SQL}
