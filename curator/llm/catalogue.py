@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from curator.llm.bpe import encode_and_decode
 from curator.llm.exact_dedup import exact_dedup
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -25,6 +29,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).drop("tie")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of the whole ``documents`` table."""
+    return encode_and_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long repeated passages of the whole ``documents`` table."""
     return substring_dedup(_read(spark, sf_dir, "documents"))
@@ -66,7 +75,7 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
