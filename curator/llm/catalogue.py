@@ -11,8 +11,11 @@ from curator.llm.bpe import encode_and_decode
 from curator.llm.exact_dedup import exact_dedup
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
+from curator.llm.url_filter import judge
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The url rules of the contract: host, path, verdict.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +37,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every url of the whole ``pages`` table."""
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, verdict)")
+    return judge(_read(spark, sf_dir, "pages"), rules)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long repeated passages of the whole ``documents`` table."""
     return substring_dedup(_read(spark, sf_dir, "documents"))
@@ -53,6 +62,25 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+OP9_SQL = r"""
+WITH u AS (
+    SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+    SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u
+), p AS (
+    SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, row_number() OVER () AS k
+    FROM h
+), rules(rhost, rpath, verdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+           ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fit AS (
+    SELECT p.k, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+    FROM p JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY p.k
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (k)
+"""
+
 OP10_SQL = r"""
 WITH w AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -75,8 +103,8 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_substring_dedup": OP10_SQL}
