@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curator.llm.bpe import encode_and_decode
 from curator.llm.exact_dedup import exact_dedup
+from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
 from curator.llm.url_filter import judge
@@ -27,6 +28,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).drop("tie")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of the ``documents`` table."""
+    return identify(_read(spark, sf_dir, "documents")).drop("tie")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of the whole ``documents`` table by SimHash."""
     return near_duplicates(_read(spark, sf_dir, "documents")).drop("tie")
@@ -103,7 +109,7 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
