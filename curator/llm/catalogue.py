@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from curator.llm.bpe import encode_and_decode
+from curator.llm.decontaminate import search
 from curator.llm.exact_dedup import exact_dedup
 from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
@@ -43,6 +44,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages in the whole ``documents`` table: a row for each document and item."""
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("tie")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url of the whole ``pages`` table."""
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, verdict)")
@@ -109,7 +115,7 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
