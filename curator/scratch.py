@@ -43,4 +43,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``materialize`` from which nothing will be read any more."""
+    _remove(df.sparkSession, df._scratch)
