@@ -13,6 +13,7 @@ from curator.llm.exact_dedup import exact_dedup
 from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
+from curator.llm.toxicity import detect
 from curator.llm.url_filter import judge
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +30,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents")).drop("tie")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text of the ``documents`` table."""
+    return detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of the ``documents`` table."""
     return identify(_read(spark, sf_dir, "documents")).drop("tie")
@@ -115,7 +121,7 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
