@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curator.llm.bpe import encode_and_decode
 from curator.llm.decontaminate import search
 from curator.llm.exact_dedup import exact_dedup
+from curator.llm.html_text import main_text
 from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
@@ -35,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of the ``pages`` table."""
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of the ``documents`` table."""
     return identify(_read(spark, sf_dir, "documents")).drop("tie")
@@ -121,7 +127,7 @@ FROM w LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op3_html_text": op3_html_text, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
