@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from curator.llm.bpe import encode_and_decode
 from curator.llm.decontaminate import search
 from curator.llm.exact_dedup import exact_dedup
@@ -14,6 +15,7 @@ from curator.llm.html_text import main_text
 from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
+from curator.llm.token_counts import count_edited, sample_edits
 from curator.llm.toxicity import detect
 from curator.llm.url_filter import judge
 
@@ -41,6 +43,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the whole ``documents`` table before and after three edits a document."""
+    edited = sample_edits(_read(spark, sf_dir, "documents"))
+    return count_edited(edited, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text of the ``documents`` table."""
     return identify(_read(spark, sf_dir, "documents")).drop("tie")
@@ -126,9 +134,15 @@ FROM w LEFT JOIN kept k USING (doc_id)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py, one after the other."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op3_html_text": op3_html_text, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_url_filter": op9_url_filter, "op10_substring_dedup": op10_substring_dedup}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_html_text, op4_token_counts, op5_language, op6_simhash, op7_bpe, op8_decontaminate, op9_url_filter, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL cannot express the others; their tests compare them with brute force, round trips or held-out labels."""
     return {"op1_exact_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_substring_dedup": OP10_SQL}
