@@ -9,9 +9,9 @@ Names are hashes of what they stand for, so equal pairs get equal names everywhe
 a dictionary and its shuffles. Whether two neighbours merge depends on these two alone, so equal windows have equal
 symbols inside, except for at most one symbol a round at each border that may merge with what lies outside.
 A window's *interior* is what is left after dropping those; it depends on the window's words only. Its *anchor*
-is the interior symbol with the least name (the leftmost of equals). Equal windows thus have the same anchor at
-the same place, and consecutive windows of one anchor form a stretch of text. A window with an empty interior is
-its own anchor.
+is the interior's longest symbol, of equally long ones that with the least name, of equals the leftmost. Equal windows thus have
+the same anchor at the same place, and consecutive windows of one anchor form a stretch of text. A window with an empty
+interior is its own anchor; windows within a run of one word are all alike and form one stretch.
 
 Only anchors are shuffled, about one for every dozen words, not windows. Names found once end there. An anchor
 whose whole stretch is found twice proves all its windows. For the other shared names the texts are read
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from curator.llm.arrow import U64, WORD_BASE, WORD_POWERS, hashes, mix, owners, slices, utf8, words
 from curator.llm.spread import among, map_arrow
-from curator.scratch import materialize
+from curator.scratch import discard, materialize
 
-WINDOW, ROUNDS = 35, 5
+WINDOW, ROUNDS = 35, 4
 #: Odd multipliers that keep the parts of a name apart.
 LEFT, RUN, PLACE, SECOND = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
@@ -78,6 +78,12 @@ def pairs(s: Symbols, left: np.ndarray) -> tuple[Symbols, np.ndarray]:
     return Symbols(name, s.start[head], s.row[head]), np.cumsum(~second) - 1
 
 
+def preference(s: Symbols, words_in_all: int) -> np.ndarray:
+    """Symbols in order of preference as anchors: long ones are shared by chance the least."""
+    length = np.minimum(np.diff(np.append(s.start, words_in_all)), 255).astype(U64)
+    return (U64(255) - length) << U64(56) | s.name >> U64(8)
+
+
 def least(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """For each non-empty range of symbols the index of the least name, the leftmost of equals."""
     order = np.empty(len(name), np.int64)
@@ -99,13 +105,15 @@ def least(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """All windows of a slice: row, first word, name and offset of the anchor, index that groups stretches."""
+    """All windows of a slice: row, first word, name and offset of the anchor, index that groups stretches, and
+    whether it lies in a run of one word."""
 
     row: np.ndarray
     word: np.ndarray
     name: np.ndarray
     offset: np.ndarray
     group: np.ndarray
+    alike: np.ndarray
 
 
 def windows(h: np.ndarray, first: np.ndarray, size: int, rounds: int) -> Windows:
@@ -116,6 +124,7 @@ def windows(h: np.ndarray, first: np.ndarray, size: int, rounds: int) -> Windows
     p = np.repeat(first[:-1], count) + nth
     s, of = runs(h, row)
     lo, hi = of[p] + 1, of[p + size - 1]  # the border runs may go on outside
+    alike, run = of[p] == of[p + size - 1], of[p]
     for k in range(rounds):
         left = sides(s.name, k)
         full = lo < hi
@@ -128,9 +137,10 @@ def windows(h: np.ndarray, first: np.ndarray, size: int, rounds: int) -> Windows
     full = lo < hi
     name = window_hash(total, p, size)
     offset, group = np.zeros(len(p), np.int64), -1 - np.arange(len(p))
-    a = least(s.name, lo[full], hi[full])
+    group[alike] = -1 - len(p) - run[alike]
+    a = least(preference(s, len(h)), lo[full], hi[full])
     name[full], offset[full], group[full] = s.name[a], s.start[a] - p[full], a
-    return Windows(row[p], p, name, offset, group)
+    return Windows(row[p], p, name, offset, group, alike)
 
 
 def sums(h: np.ndarray) -> np.ndarray:
@@ -161,10 +171,11 @@ def anchors(documents: DataFrame, size: int, rounds: int) -> DataFrame:
             if not len(w.word):
                 continue
             new = np.append(True, (w.group[1:] != w.group[:-1]) | (w.row[1:] != w.row[:-1]))
-            at = np.flatnonzero(new)
+            second = np.append(False, new[:-1]) & ~new & w.alike  # two alike in one run prove each other
+            at = np.flatnonzero(new | second)
             n = np.diff(np.append(at, len(new)))
             whole = window_hash(sums(h), w.word[at], n + size - 1)
-            whole = mix(whole + n.astype(U64) * RUN + w.offset[at].astype(U64) * PLACE)
+            whole = np.where(w.alike[at], mix(w.name[at]), mix(whole + n.astype(U64) * RUN + w.offset[at].astype(U64) * PLACE))
             take = pa.array(w.row[at])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w.name[at].view(np.int64)), pa.array(whole.view(np.int64)), part.column("doc_id").take(take), part.column("tie").take(take), pa.array((w.word[at] - first[w.row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -216,23 +227,25 @@ def with_lists(documents: DataFrame, lists: DataFrame, value) -> tuple[DataFrame
 def repeated(documents: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, tie, first window ``p`` and number ``n`` of the stretches of windows whose words also start elsewhere."""
     a = materialize(anchors(documents, size, rounds), "anchors")
-    names = a.groupBy("name").agg(F.count("*").alias("total"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("total > 1")
-    names = names.select(F.col("name").alias("_name"), (F.col("low") == F.col("high")).alias("alike"))
-    shared = materialize(a.join(names, a["name"] == names["_name"]).drop("_name"), "shared-anchors")
-    sure = shared.where("alike").select("doc_id", "tie", "p", "n")
-    mixed = shared.where("not alike").drop("alike")
+    names = a.groupBy("name").agg(F.count("*").alias("total")).where("total > 1").select(F.col("name").alias("_name"))
+    shared = materialize(a.join(names, a["name"] == names["_name"], "left_semi"), "shared-anchors")
+    discard(a)
     place = F.struct("doc_id", "tie", "p", "n")
-    kinds = mixed.groupBy("name", "whole").agg(F.count("*").alias("times"), F.min(place).alias("one"))
-    kinds = materialize(kinds, "stretches")
+    kinds = materialize(shared.groupBy("name", "whole").agg(F.count("*").alias("times"), F.min(place).alias("one")), "stretches")
     k = kinds.where("times > 1").select(F.col("name").alias("_name"), F.col("whole").alias("_whole"))
-    whole = mixed.join(k, (mixed["name"] == k["_name"]) & (mixed["whole"] == k["_whole"]), "left_semi").select("doc_id", "tie", "p", "n")
-    ask = kinds.select("one.doc_id", "one.tie", "one.p", "one.n", "name", "times")
+    whole = shared.join(k, (shared["name"] == k["_name"]) & (shared["whole"] == k["_whole"]), "left_semi").select("doc_id", "tie", "p", "n")
+    several = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("name").alias("_name"))
+    ask = kinds.join(several, kinds["name"] == several["_name"], "left_semi")
+    ask = materialize(ask.select("one.doc_id", "one.tie", "one.p", "one.n", "name", "times"), "to-compare")
     texts, _ = with_lists(documents, ask, F.struct("p", "n", "name", "times"))
     w = materialize(window_rows(texts.where("at is not null"), size, rounds), "windows")
     twice = w.groupBy("name", "hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("name").alias("_name"), F.col("hash").alias("_hash"))
     single = w.where("times = 1")
     part = single.join(twice, (single["name"] == twice["_name"]) & (single["hash"] == twice["_hash"]), "left_semi").select("doc_id", "tie", "p", F.lit(1).alias("n"))
-    return sure.unionByName(whole).unionByName(part)
+    found = materialize(whole.unionByName(part), "repeats")
+    for table in (shared, kinds, ask, w):
+        discard(table)
+    return found
 
 
 def substring_dedup(documents: DataFrame, size: int = WINDOW, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
