@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = [import_module(f"curator.plans.{name}") for name in ("admission", "packing", "mixture", "ledger")]
+PARTS = [import_module(f"curator.plans.{name}") for name in ("admission", "packing", "mixture", "ledger", "streaming")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
