@@ -53,9 +53,9 @@ def checked(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_off
 def verify(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_offset", **more) -> DataFrame:
     """(branch, n_records, first_bad, n_valid): records from the first bad one on are not trusted."""
     c = checked(ledger, branch, offset, **more)
-    first = F.min(F.when(F.col("bad"), F.col(offset)))
-    g = c.groupBy(branch).agg(F.count("*").alias("n_records"), first.alias("first_bad"), F.min(offset).alias("lowest"))
-    return g.select(branch, "n_records", "first_bad", F.when(F.col("first_bad").isNull(), F.col("n_records")).otherwise(F.col("first_bad") - F.col("lowest")).alias("n_valid"))
+    c = c.withColumn("first_bad", F.min(F.when(F.col("bad"), F.col(offset))).over(Window.partitionBy(branch)))
+    valid = F.count(F.when(F.col("first_bad").isNull() | (F.col(offset) < F.col("first_bad")), 1))
+    return c.groupBy(branch, "first_bad").agg(F.count("*").alias("n_records"), valid.alias("n_valid")).select(branch, "n_records", "first_bad", "n_valid")
 
 
 def valid_prefix(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_offset", **more) -> DataFrame:
