@@ -3,8 +3,9 @@
 For every prefix of a pre-token's bytes there is exactly one last token that its encoding can end in: the token
 ``t`` that ends there, whose start is a prefix with last token ``s``, such that ``s`` and ``t`` can stand side by
 side (their bytes together encode to just these two). The table of these last tokens is the encoding of every
-prefix at once: bytes are appended exactly by extending it, and after an edit it is recomputed from the edit only
-until it agrees again with the old table over the longest token's length.
+prefix at once, and pre-tokens that begin alike share it: a worker keeps the last tokens of the prefixes it has
+met. Bytes are appended exactly by extending it, and after an edit it is recomputed from the edit only until it agrees
+again with the old table over the longest token's length.
 
 ``s, t`` can stand side by side iff no merge ever crosses their border. The pieces that touch the border while
 the two are built are the right spine of ``s`` and the left spine of ``t``; a crossing merge happens iff its rank comes
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from curator.llm.spread import map_arrow
 
-#: Entries of a worker's memo of pre-tokens; it is emptied when full.
-MEMO = 300_000
+#: Entries of a worker's memo of pre-tokens, and of its table of prefixes; either is emptied when full.
+MEMO, PREFIXES = 250_000, 400_000
+#: The longest pre-token, in bytes, whose prefixes are kept for others.
+SHARED = 64
 
 
 class Vocabulary:
@@ -39,11 +42,11 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {t: b for b, t in ranks.items()}
-        self.suffixes: set[bytes] = set()
+        self.ends: dict[bytes, int] = {}  # what a token can end in: the token itself, or -1
         self.left: dict[int, list[int]] = {}
         self.right: dict[int, list[int]] = {}
         self.built: dict[bytes, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by (left << 20) + right
         for token in sorted(self.bytes_of):
             b = self.bytes_of[token]
             parts = self.halves(b, token)
@@ -53,7 +56,9 @@ class Vocabulary:
             self.built[b] = token
             self.left[token] = [*self.left.get(a, ()), token]
             self.right[token] = [*self.right.get(c, ()), token]
-            self.suffixes.update(b[i:] for i in range(len(b)))
+            for i in range(1, len(b)):
+                self.ends.setdefault(b[i:], -1)
+            self.ends[b] = token
         self.longest = max(map(len, self.built), default=1)
 
     def halves(self, b: bytes, token: int) -> tuple[int, int] | None:
@@ -76,11 +81,11 @@ class Vocabulary:
 
     def side_by_side(self, s: int, t: int) -> bool:
         """True if no merge crosses the border of ``s`` and ``t``."""
-        known = self.pairs.get((s, t))
+        known = self.pairs.get((s << 20) + t)
         if known is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            known = self.pairs[s, t] = self._apart(s, t)
+            known = self.pairs[(s << 20) + t] = self._apart(s, t)
         return known
 
     def _apart(self, s: int, t: int) -> bool:
@@ -109,16 +114,34 @@ class Prefixes:
         self.append(data)
 
     def _last(self, data: bytes, last: list[int], j: int) -> int:
-        v = self.v
+        get, known, found = self.v.ends.get, self.v.pairs.get, []
         for i in range(j - 1, -1, -1):
-            piece = data[i:j]
-            if piece not in v.suffixes:
+            t = get(data[i:j])
+            if t is None:
                 break
-            t = v.built.get(piece)
-            if t is not None and (i == 0 or v.side_by_side(last[i], t)):
+            if t >= 0:
+                found.append((i, t))
+        for i, t in reversed(found):  # it is mostly the longest
+            if not i:
+                return t
+            fits = known((last[i] << 20) + t)
+            if fits or fits is None and self.v.side_by_side(last[i], t):
                 return t
         raise ValueError("the vocabulary lacks a byte")
 
+    @classmethod
+    def shared(cls, vocabulary: Vocabulary, data: bytes, table: dict[bytes, int]) -> Prefixes:
+        """The prefixes of ``data``, read from ``table`` (prefix to last token) as far as it has them and added to it."""
+        out, known = cls(vocabulary), len(data)
+        while known and data[:known] not in table:
+            known -= 1
+        out.data, last = data, out.last
+        last += [table[data[:j]] for j in range(1, known + 1)]
+        for j in range(known + 1, len(data) + 1):
+            t = table[data[:j]] = out._last(data, last, j)
+            last.append(t)
+        return out
+
     def append(self, more: bytes) -> None:
         """Extend the table; what is there stays as it is."""
         n, self.data = len(self.data), self.data + more
@@ -153,17 +176,22 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("ranks must be below 2**20")
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
         self.table = self.vocabulary.bytes_of
+        self.prefixes: dict[bytes, int] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).ids())
-        if len(data) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
+        if whole is None and len(data) > SHARED:
+            return tuple(Prefixes(self.vocabulary, data).ids())
+        if len(self) >= MEMO:
+            self.clear()
+        if len(self.prefixes) >= PREFIXES:
+            self.prefixes.clear()
+        ids = self[piece] = (whole,) if whole is not None else tuple(Prefixes.shared(self.vocabulary, data, self.prefixes).ids())
         return ids
 
     def encode(self, text: str) -> list[int]:
