@@ -54,11 +54,15 @@ def collided(documents: DataFrame, keys: DataFrame) -> DataFrame:
 def exact_dedup(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and ``tie``, a hash of the original text."""
     keys = materialize(content_keys(documents), "exact-keys")
-    clash = collided(documents, keys).withColumn("clash", F.lit(True))
-    keys = keys.join(clash, "h", "left").withColumn("sub", F.when(F.col("clash"), F.col("sha"))).drop("clash")
+    clash = materialize(collided(documents, keys), "exact-collisions")
+    if clash.limit(1).count():
+        keys = keys.join(clash.withColumn("clash", F.lit(True)), "h", "left").withColumn("sub", F.when(F.col("clash"), F.col("sha"))).drop("clash")
+    else:
+        keys = keys.withColumn("sub", F.lit(None).cast("binary"))
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
     groups = keys.groupBy("h", "sub").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
     per_row = keys.groupBy("h", "sub", "sha", "doc_id", "n", "tie").agg(F.count("*").alias("times"))
+    groups = materialize(groups, "exact-groups")  # a side of its own, so that adaptive execution can split a hot hash
     g = groups.select(F.col("h").alias("gh"), F.col("sub").alias("gsub"), "first", "group_size")
     rows = per_row.join(g, (F.col("h") == F.col("gh")) & F.col("sub").eqNullSafe(F.col("gsub")))
     mine = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
