@@ -189,6 +189,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = members.groupBy("root").agg(F.min("least").alias("smallest"))
     linked_nodes = roots.join(named, "root").select(F.col("node"), "smallest")
     named_nodes = nodes.join(linked_nodes, nodes["fp"] == linked_nodes["node"], "left").select(F.col("fp").alias("node_fp"), F.coalesce("smallest", "least").alias("component_id"))
+    named_nodes = materialize(named_nodes, "components")  # a side of its own, so that adaptive execution can split a hot fingerprint
     out = rows.join(named_nodes, rows["fp"] == named_nodes["node_fp"])
     return out.select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
