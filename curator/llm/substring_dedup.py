@@ -228,6 +228,7 @@ def repeated(documents: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     """doc_id, tie, first window ``p`` and number ``n`` of the stretches of windows whose words also start elsewhere."""
     a = materialize(anchors(documents, size, rounds), "anchors")
     names = a.groupBy("name").agg(F.count("*").alias("total")).where("total > 1").select(F.col("name").alias("_name"))
+    names = materialize(names, "shared-names")  # a side of its own, so that adaptive execution can split a hot name
     shared = materialize(a.join(names, a["name"] == names["_name"], "left_semi"), "shared-anchors")
     discard(a)
     place = F.struct("doc_id", "tie", "p", "n")
@@ -240,6 +241,7 @@ def repeated(documents: DataFrame, size: int = WINDOW, rounds: int = ROUNDS) ->
     texts, _ = with_lists(documents, ask, F.struct("p", "n", "name", "times"))
     w = materialize(window_rows(texts.where("at is not null"), size, rounds), "windows")
     twice = w.groupBy("name", "hash").agg(F.count("*").alias("c")).where("c > 1").select(F.col("name").alias("_name"), F.col("hash").alias("_hash"))
+    twice = materialize(twice, "equal-windows")
     single = w.where("times = 1")
     part = single.join(twice, (single["name"] == twice["_name"]) & (single["hash"] == twice["_hash"]), "left_semi").select("doc_id", "tie", "p", F.lit(1).alias("n"))
     found = materialize(whole.unionByName(part), "repeats")
