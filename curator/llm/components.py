@@ -12,7 +12,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    least = materialize(least, "least")  # a side of its own, so that adaptive execution can split a hub's edges
     out = both.join(least, both["a"] == least["u"]).where("b > a")
     return out.select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
