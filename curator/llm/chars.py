@@ -10,9 +10,14 @@ import numpy as np
 @lru_cache(1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every code point: lower case (itself where that is several characters), is a letter, is a letter or digit."""
-    every = [chr(i) for i in range(0x110000)]
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every), np.uint32, 0x110000)
-    return lower, np.fromiter((c.isalpha() for c in every), bool, 0x110000), np.fromiter((c.isalnum() for c in every), bool, 0x110000)
+    lower, alpha, alnum = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            alnum[i], alpha[i], x = True, c.isalpha(), c.lower()
+            if x != c and len(x) == 1:
+                lower[i] = ord(x)
+    return lower, alpha, alnum
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from curator.llm.arrow import U64, WORD_BASE, mix, slices
 from curator.llm.chars import points, tables
-from curator.llm.spread import drop_rows
+from curator.llm.spread import drop_rows, map_arrow
 
 Q, PIECE, LEAST, EDIT_RATE, BLOCK_CHARS = 12, 80, 30, 0.06, 4_000_000
 TABLE_BITS = 22
@@ -183,25 +183,24 @@ def search(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         pieces = d.sparkSession.sparkContext.broadcast(Pieces.of(sorted(((r.item_id, r.text) for r in block.collect()), key=str)))
-        found = d.mapInArrow(_searcher(pieces), schema)
+        found = map_arrow(d, _searcher(pieces), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def _searcher(pieces):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         k = pieces.value
-        for b in batches:
-            for part in slices(b, "text", 1_000_000):
-                seen: dict[tuple, list[int]] = {}
-                for d, o, start, end, edits in regions([t or "" for t in part.column("text").to_pylist()], k):
-                    x = seen.setdefault((d, k.item[o]), [0, start, end, edits])
-                    x[:] = [x[0] + 1, min(x[1], start), max(x[2], end), min(x[3], edits)]
-                take = pa.array([d for d, _ in seen], pa.int64())
-                columns = [part.column("doc_id").take(take), part.column("tie").take(take), pa.array([i for _, i in seen])]
-                columns += [pa.array([x[i] for x in seen.values()], pa.int32()) for i in range(4)]
-                if seen:
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "item_id", "pieces", "start", "end", "edits"])
+        for part in slices(b, "text", 1_000_000):
+            seen: dict[tuple, list[int]] = {}
+            for d, o, start, end, edits in regions([t or "" for t in part.column("text").to_pylist()], k):
+                x = seen.setdefault((d, k.item[o]), [0, start, end, edits])
+                x[:] = [x[0] + 1, min(x[1], start), max(x[2], end), min(x[3], edits)]
+            take = pa.array([d for d, _ in seen], pa.int64())
+            columns = [part.column("doc_id").take(take), part.column("tie").take(take), pa.array([i for _, i in seen])]
+            columns += [pa.array([x[i] for x in seen.values()], pa.int32()) for i in range(4)]
+            if seen:
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "item_id", "pieces", "start", "end", "edits"])
 
     return run
 

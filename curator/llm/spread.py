@@ -9,9 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch. Texts are long, and both the JVM and the Python worker hold a batch or two.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000}
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
-    return df.mapInArrow(lambda batches: (out for batch in batches for out in f(batch)), schema)
+    """``mapInArrow`` with a function of one batch. It sets the session's limits of a batch to ``BATCH``."""
+    for key, most in BATCH.items():
+        df.sparkSession.conf.set(key, str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from f(batch)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def among(df: DataFrame, key: Column, members: DataFrame, bits: int = 24) -> DataFrame:
@@ -37,12 +49,12 @@ def drop_rows(documents: DataFrame, dropped: DataFrame) -> DataFrame:
     Where ``keep_one`` is true, one of the rows that agree in both stays. Only rows that may be named are moved;
     the texts of all others stay where they are.
     """
-    columns = documents.columns
-    d = among(documents.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit("")))), F.xxhash64("doc_id", "_tie"), dropped.select(F.xxhash64("doc_id", "tie").alias("member")))
+    # rows are packed, so that no column of theirs can clash with those of this function
+    packed = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tie"))
+    d = among(packed, F.xxhash64("_id", "_tie"), dropped.select(F.xxhash64("doc_id", "tie").alias("member")))
     gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), F.col("keep_one").alias("_keep_one"))
-    same = d["doc_id"].eqNullSafe(gone["_gone_id"]) & (d["_tie"] == gone["_gone_tie"])
-    sure = d.where("not maybe_member").select(*columns)
-    named = d.where("maybe_member").join(gone, same, "left")
-    others = named.where("_gone_tie is null").select(*columns)
-    one = named.where("_keep_one").dropDuplicates(["_gone_id", "_gone_tie"]).select(*columns)
-    return sure.unionByName(others).unionByName(one)
+    sure = d.where("not maybe_member").select("_row")
+    named = d.where("maybe_member").join(gone, d["_id"].eqNullSafe(gone["_gone_id"]) & (d["_tie"] == gone["_gone_tie"]), "left")
+    others = named.where("_gone_tie is null").select("_row")
+    one = named.where("_keep_one").dropDuplicates(["_gone_id", "_gone_tie"]).select("_row")
+    return sure.unionByName(others).unionByName(one).select("_row.*")
