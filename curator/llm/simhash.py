@@ -21,7 +21,7 @@ Cases. Null text counts as empty; a text without words has fingerprint zero and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -106,7 +106,7 @@ def masks(most: int = MOST_BITS, blocks: int = BLOCKS) -> list[int]:
 def linked(fp: np.ndarray, bucket: np.ndarray, side: np.ndarray, most: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``bucket``; for runs over 8 rows a forest of them. table: pivots' distances."""
 
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for c in range(table.shape[1]):  # one pivot after the other, on what is left
             keep = np.abs(table[i, c] - table[j, c]) <= most
             i, j = i[keep], j[keep]
@@ -115,6 +115,12 @@ def linked(fp: np.ndarray, bucket: np.ndarray, side: np.ndarray, most: int, tabl
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= most
         return i[ok], j[ok]
 
+    a, b = forest(bucket, near)
+    return fp[a], fp[b]
+
+
+def forest(bucket: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within runs of equal ``bucket`` that ``near`` leaves; for runs over 8 rows a forest of them."""
     cut = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
     length = np.diff(np.append(cut, len(bucket)))
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -133,7 +139,7 @@ def linked(fp: np.ndarray, bucket: np.ndarray, side: np.ndarray, most: int, tabl
             todo += j.tolist()
             open_ = np.setdiff1d(open_, j, assume_unique=True)
     a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-    return fp[a], fp[b]
+    return a, b
 
 
 def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -196,7 +202,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    rows = near_duplicates(documents).groupBy("doc_id", "tie", "component_id").agg(F.count("*").alias("times"))
+    return keep_smallest(documents, near_duplicates(documents))
+
+
+def keep_smallest(documents: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The document with the smallest doc_id of each component. grouped: doc_id, tie, component_id."""
+    rows = grouped.groupBy("doc_id", "tie", "component_id").agg(F.count("*").alias("times"))
     # rows that share the smallest id differ in their text: the smallest hash of it stays
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("first")).select(F.col("component_id").alias("c"), "first")
     mine = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
