@@ -1,12 +1,17 @@
 """Benchmark passages in documents, by q-gram filtering and banded alignment.
 
 Texts are compared as lower-cased letters and digits without what lies between them. Benchmark items are cut into
-overlapping pieces of ``piece`` characters (shorter items are one piece), so part of an item is found as well. If a piece of m
+overlapping pieces of ``piece`` characters (shorter items are one piece), and from every word on into pieces of ``run`` words
+(where they have over 3 ``piece`` characters, from every q characters on into ``piece``), so that any ``run`` words of an item in a row are found wherever they begin. If a piece of m
 characters occurs in a document with at most e edits, the two share at least ``m - q + 1 - q e`` q-grams, and all
 of them lie within e + 1 neighbouring diagonals (document position minus piece position). Shared q-grams are counted in
 bands of 2 (e + 1) diagonals that overlap by half, so one band holds them all; bands below that bound are
 discarded without loss, and what is left is verified by aligning the piece within the band.
 
+A piece of words is also found if one word between its first and its last was replaced by 1 to ``OTHER`` characters and all others
+are as they were. The longer side of the word then is whole, on one diagonal, and shares all of its q-grams: the bound is the least of
+these numbers over the words, if lower. A word that leaves under q characters on both sides is not looked for that way.
+
 The benchmark is a stated query set: it is read in blocks of about ``BLOCK_CHARS`` characters, chosen by hash after its size was
 measured, and each block is searched in one pass over the documents, without a shuffle. Only a block is ever on
 the driver.
@@ -18,6 +23,7 @@ repeated documents too. Very long texts are searched whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +37,8 @@ from curator.llm.chars import points, tables
 from curator.llm.spread import drop_rows, map_arrow
 
 Q, PIECE, LEAST, EDIT_RATE, BLOCK_CHARS = 12, 80, 30, 0.06, 4_000_000
+#: Words of a piece, and the most characters that replace one.
+RUN, OTHER = 13, 24
 TABLE_BITS = 22
 #: Shared q-grams counted at a time.
 HITS = 2_000_000
@@ -67,18 +75,32 @@ class Pieces:
     owner: np.ndarray
     place: np.ndarray
     seen: np.ndarray  # a bit map of the q-grams' low bits
+    inner: list[list[tuple[int, int]]]  # starts and ends of the words that may be replaced
 
     @classmethod
-    def of(cls, items: list[tuple], q: int = Q, piece: int = PIECE, least: int = LEAST, rate: float = EDIT_RATE) -> Pieces:
-        c, _, first, _ = compared([t or "" for _, t in items])
-        ids, chars = [], []
-        for (i, _), a, b in zip(items, first, first[1:]):
+    def of(cls, items: list[tuple], q: int = Q, piece: int = PIECE, least: int = LEAST, rate: float = EDIT_RATE, run: int = RUN) -> Pieces:
+        c, at, first, off = compared([t or "" for _, t in items])
+        ids, chars, inner = [], [], []
+        for n, ((i, t), a, b) in enumerate(zip(items, first.tolist(), first[1:].tolist())):
             if b - a < max(least, q):
                 continue
-            starts = [*range(a, b - piece, piece // 2), max(a, b - piece)]
-            for s in dict.fromkeys(starts):
+            places = {(s, min(s + piece, b)): [] for s in [*range(a, b - piece, piece // 2), max(a, b - piece)]}
+            begin = [w.start() for w in re.finditer(r"\S+", t)]
+            word = [*(a + np.searchsorted(at[a:b] - off[n], begin)).tolist(), b]
+            for k, s in enumerate(word[:-1]):
+                whole = word[k + run] if k + run <= len(begin) else b + 4096
+                if whole - s <= 3 * piece:
+                    if whole - s >= max(least, q):
+                        places[s, whole] = [(u - s, v - s) for u, v in zip(word[k + 1 :], word[k + 2 :]) if s < u < v < whole]
+                    continue
+                for x in range(s, min(word[k + 1], b - piece + 1), q):  # words this long are a script without spaces
+                    places.setdefault((x, x + piece), [])
+            if len(begin) <= run and (a, b) in places:
+                places[a, b] = [(u - a, v - a) for u, v in zip(word[1:], word[2:]) if a < u < v < b]
+            for (s, e), words in places.items():
                 ids.append(i)
-                chars.append(c[s : min(s + piece, b)])
+                chars.append(c[s:e])
+                inner.append(words)
         m = np.array([len(x) for x in chars], np.int64)
         edits = np.minimum((m * rate).astype(np.int64), (m - q) // q)  # a bound under one q-gram would filter nothing
         grams = [qgrams(x, q) for x in chars]
@@ -88,7 +110,10 @@ class Pieces:
         order = np.argsort(gram, kind="stable")
         seen = np.zeros(1 << TABLE_BITS, bool)
         seen[(gram & U64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
-        return cls(ids, chars, edits, m - q + 1 - q * edits, gram[order], owner[order], place[order], seen)
+        inner = [[(u, v) for u, v in w if max(u, x - v) >= q] for w, x in zip(inner, m)]
+        need = m - q + 1 - q * edits
+        need = np.array([min([n, *[max(u, x - v) - q + 1 for u, v in w]]) for n, w, x in zip(need, inner, m)], np.int64)
+        return cls(ids, chars, edits, need, gram[order], owner[order], place[order], seen, inner)
 
 
 def align(piece: np.ndarray, text: np.ndarray, most: int, low: int, high: int) -> tuple[int, int] | None:
@@ -120,6 +145,40 @@ def align(piece: np.ndarray, text: np.ndarray, most: int, low: int, high: int) -
     return edits, len(p) + low + row.index(edits)
 
 
+def equal(piece: np.ndarray, text: np.ndarray, low: int, high: int) -> int | None:
+    """Where ``piece`` ends in ``text`` if it is there unchanged, on a diagonal of ``low`` to ``high``."""
+    n = len(piece)
+    for d in range(max(low, 0), min(high, len(text) - n) + 1):
+        if text[d] == piece[0] and np.array_equal(text[d : d + n], piece):
+            return d + n
+    return None
+
+
+def replaced(piece: np.ndarray, inner: list[tuple[int, int]], text: np.ndarray, low: int, high: int, most: int = OTHER) -> tuple[int, int, int] | None:
+    """Start, end and edits of ``piece`` in ``text`` with one of its ``inner`` words replaced, one side of it on a diagonal of ``low`` to ``high``."""
+    n, m = len(text), len(piece)
+    for d in range(low, high + 1):
+        # what agrees with the text from the first character on, and from the last one back
+        x, y = max(0, -d), min(m, n - d)
+        if y - x < 1:
+            continue
+        differ = np.flatnonzero(text[x + d : y + d] != piece[x:y]) + x
+        head = 0 if x else int(differ[0]) if len(differ) else y
+        tail = m if y < m else int(differ[-1]) + 1 if len(differ) else x
+        for u, v in inner:
+            if u <= head:
+                for g in range(1, most + 1):
+                    s = d + u + g
+                    if s + m - v <= n and np.array_equal(text[s : s + m - v], piece[v:]):
+                        return d, s + m - v, max(v - u, g)
+            if v >= tail:
+                for g in range(1, most + 1):
+                    s = d + v - g - u
+                    if s >= 0 and np.array_equal(text[s : s + u], piece[:u]):
+                        return s, d + m, max(v - u, g)
+    return None
+
+
 def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, piece, start, end, edits) of every verified occurrence; start and end count characters of the text."""
     c, at, first, off = compared(texts)
@@ -160,12 +219,19 @@ def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int,
         a = int(first[d])
         text = c[max(a, a + low - e) : min(int(first[d + 1]), a + low + 2 * e + 1 + len(x) + e)]
         shift = max(0, low - e)
-        found = align(x, text, e, low - e - shift, low + 2 * e + 1 + e - shift)
+        stop = equal(x, text, low - shift, low + 2 * e + 1 - shift)
+        found = (0, stop) if stop is not None else align(x, text, e, low - e - shift, low + 2 * e + 1 + e - shift)
         if found is None:
-            continue
-        edits, stop = found
-        stop += shift
-        start = max(0, stop - len(x) - e) if edits else stop - len(x)
+            wide = max(0, low - OTHER - len(x))  # the other side may lie on a diagonal further off
+            text = c[a + wide : min(int(first[d + 1]), a + max(0, low + 2 * e + 1) + len(x) + OTHER)]
+            other = replaced(x, pieces.inner[o], text, low - wide, low + 2 * e + 1 - wide) if pieces.inner[o] else None
+            if other is None:
+                continue
+            start, stop, edits = wide + other[0], wide + other[1], other[2]
+        else:
+            edits, stop = found
+            stop += shift
+            start = max(0, stop - len(x) - e) if edits else stop - len(x)
         if (d, o, stop) not in done:
             done.add((d, o, stop))
             yield d, o, int(at[a + start] - off[d]), int(at[a + stop - 1] - off[d] + 1), edits
