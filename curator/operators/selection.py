@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,15 +93,27 @@ def plan_lane(rows: pd.DataFrame, steps: list[tuple[int, int, int]], queue_cap:
     return pd.DataFrame(out, columns=["step", "idx", "score", "rank_in_lane", "deferrals", "status", "reason"])
 
 
+def steps_to_drain(n: int, quota: int, size: int, band: float = BAND, max_deferrals: int = MAX_DEFERRALS) -> list[tuple[int, int, int]]:
+    """Steps of ``size`` that use up ``n`` candidates and their queue; those beyond the end are empty and give no rows.
+
+    A step defers at most ``back = ceil(band quota)``, so each draws ``size - back`` new ones at least until all are drawn. The queue of at most ``QUEUE``
+    then empties, each of its candidates coming back ``max_deferrals`` times at most.
+    """
+    back = int(min(size, -(-quota * band // 1)))
+    new = size - back
+    count = -(-n // new) + max_deferrals + 1 if new else n * (max_deferrals + 1)
+    return [(s, quota, size) for s in range(count + (QUEUE * (max_deferrals + 1)))]
+
+
 PLANNED = "step int, idx long, score double, rank_in_lane int, deferrals int, status string, reason string"
 
 
-def plan_steps(candidates: DataFrame, lane: str, steps: list[tuple[int, int, int]]) -> DataFrame:
-    """``plan_lane`` for each value of ``lane``, side by side."""
+def plan_steps(candidates: DataFrame, lane: str, steps: list[tuple[int, int, int]] | Callable[[int], list[tuple[int, int, int]]]) -> DataFrame:
+    """``plan_lane`` for each value of ``lane``, side by side. steps: the same for all, or a function of a lane's number of candidates."""
     kind = candidates.schema[lane].dataType.simpleString()
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return plan_lane(rows, steps).assign(**{lane: key[0]})[[lane, *PLANNED_COLUMNS]]
+        return plan_lane(rows, steps(len(rows)) if callable(steps) else steps).assign(**{lane: key[0]})[[lane, *PLANNED_COLUMNS]]
 
     return candidates.groupBy(lane).applyInPandas(run, f"{lane} {kind}, {PLANNED}")
 

@@ -156,9 +156,9 @@ def decisions_by_lane(spark, sf):
 
 
 def deferral_fate(spark, sf):
-    """A selector lane planned over twelve steps with its queue, for each label."""
+    """A selector lane planned with its queue until candidates and queue are used up, for each label."""
     c = candidates(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "label"), "idx").select("label", "idx", "score")
-    planned = S.plan_steps(c, "label", [(s, 2, 5) for s in range(12)])
+    planned = S.plan_steps(c, "label", lambda n: S.steps_to_drain(n, 2, 5))
     return planned.groupBy("label", "idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "status"))), lambda x: x["status"]), ",").alias("fate"))
 
 
