@@ -153,10 +153,19 @@ def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
     def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x, size) for x in t.column("text").to_pylist()]
         n, sig = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]  # shingles as small numbers, one set after the other
+        first, mark = np.cumsum(n) - n, np.zeros(n.sum(), bool)
 
         def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i, j = _possible(i, j, n, sig, least)
-            common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+            common = np.zeros(len(i), np.int64)
+            for x in np.unique(i):
+                at = np.flatnonzero(i == x)
+                size_j, mine = n[j[at]], number[first[x] : first[x] + n[x]]
+                mark[mine] = True
+                head = np.cumsum(size_j) - size_j
+                common[at] = np.add.reduceat(mark[number[np.repeat(first[j[at]] - head, size_j) + np.arange(size_j.sum())]], head, dtype=np.int64)
+                mark[mine] = False
             keep = common >= least * (n[i] + n[j] - common) - EPS
             return i[keep], j[keep]
 
