@@ -6,7 +6,8 @@ language, corrected by that filter's false-positive rate, and the largest correc
 
 Learning takes a bounded sample: of each language the ``per_language`` rows with the smallest hash of text and id.
 Their n-grams are counted on the executors, and the ``grams`` most frequent of each language fill its filter;
-that table is all the driver sees. At most 64 languages can be told apart.
+that table is all the driver sees. Slots are as many mask words wide as the languages need. The model is bounded: the ``LANGUAGES``
+languages with the most sampled rows are learned, and all filters together hold at most ``ALL_GRAMS`` n-grams.
 
 Cases. Null texts and texts without letters are ``und`` with score 0. Equal shares go to the language first in the alphabet.
 Rows without lang are predicted like others but teach nothing. With nothing to learn from, every text is ``und``.
@@ -28,7 +29,9 @@ from curator.llm.arrow import U64, WORD_BASE, mix, slices
 from curator.llm.chars import points, tables
 from curator.llm.spread import drop_rows, map_arrow
 
-PER_LANGUAGE, GRAMS, N, SLOT_BITS, PROBES, LANGUAGES = 400, 20_000, 4, 18, 3, 64
+PER_LANGUAGE, GRAMS, N, SLOT_BITS, PROBES = 400, 20_000, 4, 18, 3
+#: Most languages learned, and most n-grams of all of them together.
+LANGUAGES, ALL_GRAMS = 1024, 4_000_000
 UNKNOWN = "und"
 #: The least corrected share of known n-grams that the pipeline's filter asks for.
 LEAST_SHARE = 0.1
@@ -72,63 +75,81 @@ def probes(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Languages, slots with a bit for each, and each language's false-positive rate."""
+    """Languages, slots with a bit for each (a plane for every 64 of them), and each language's false-positive rate."""
 
     names: list[str]
-    slots: np.ndarray
+    planes: list[np.ndarray]
     wrong: np.ndarray
 
     @classmethod
     def of(cls, members: dict[str, np.ndarray]) -> Filters:
         names = sorted(members)
-        slots = np.zeros(1 << SLOT_BITS, next(t for b, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(names) <= b))
-        for i, name in enumerate(names):
-            for at in probes(members[name]):
-                slots[at] |= slots.dtype.type(1 << i)
-        fill = np.array([((slots >> slots.dtype.type(i)) & slots.dtype.type(1)).mean() for i in range(len(names))])
-        return cls(names, slots, fill**PROBES)
+        planes, wrong = [], []
+        for a in range(0, len(names), 64):
+            some = names[a : a + 64]
+            slots = np.zeros(1 << SLOT_BITS, next(t for b, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(some) <= b))
+            for i, name in enumerate(some):
+                for at in probes(members[name]):
+                    slots[at] |= slots.dtype.type(1 << i)
+            planes.append(slots)
+            wrong += [_bit(slots, i).mean() ** PROBES for i in range(len(some))]
+        return cls(names, planes, np.array(wrong))
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected share of each language in each text, and each text's letters."""
         h, first, letters = grams(texts)
-        found = np.full(len(h), ~self.slots.dtype.type(0))
-        for at in probes(h):
-            found &= self.slots[at]
         out = np.zeros((len(texts), len(self.names)))
         n = np.diff(first)
-        some = n > 0
-        for i in range(len(self.names)):
-            bit = ((found >> self.slots.dtype.type(i)) & self.slots.dtype.type(1)).astype(np.int64)
-            hits = np.add.reduceat(np.append(bit, 0), first[:-1]) * some if len(texts) else n
+        some, at = n > 0, probes(h)
+        for i in range(len(self.names) if len(texts) else 0):
+            slots = self.planes[i // 64]
+            if i % 64 == 0:
+                found = np.full(len(h), ~slots.dtype.type(0))
+                for a in at:
+                    found &= slots[a]
+            hits = np.add.reduceat(np.append(_bit(found, i % 64), 0).astype(np.int64), first[:-1]) * some
             out[:, i] = (hits / np.maximum(n, 1) - self.wrong[i]) / (1 - self.wrong[i])
         return np.clip(out, 0, 1), letters
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = GRAMS) -> Filters:
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    return (masks >> masks.dtype.type(i)) & masks.dtype.type(1)
+
+
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """lang, gram, n: how often the texts (lang, text) of each language hold an n-gram.
+
+    A worker gives one row for each different n-gram of a text, so their number follows from the texts alone and not from how
+    they are dealt to tasks; they are summed before the shuffle.
+    """
+
+    def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(b, "text"):
+            h, first, _ = grams(part.column("text").to_pylist())
+            for i, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist())):
+                gram, n = np.unique(h[x:y], return_counts=True)
+                lang = part.column("lang").take(pa.array(np.full(len(gram), i)))
+                yield pa.RecordBatch.from_arrays([lang, pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    return map_arrow(sample, count, "lang string, gram long, n long")
+
+
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = GRAMS, languages: int = LANGUAGES) -> Filters:
     """Filters from the rows (text, lang) of ``labelled``; doc_id only orders the sample."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "doc_id").alias("r"))
     ranked = rows.select("lang", "r").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("r")))
-    cut = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("r").alias("r")).limit(LANGUAGES + 1).collect()
-    if len(cut) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    cut = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("r").alias("most"), F.count("*").alias("n"))
+    cut = cut.orderBy(F.desc("n"), "lang").limit(languages).select("lang", "most").collect()
     if not cut:
         return Filters.of({"": np.zeros(0, U64)})
-    within = F.coalesce(*[F.when(F.col("lang") == c["lang"], F.col("r") <= c["r"]) for c in cut])
-
-    def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(b, "text"):
-            h, first, _ = grams(part.column("text").to_pylist())
-            owner = np.repeat(np.arange(part.num_rows), np.diff(first))
-            lang = np.array(part.column("lang").to_pylist(), dtype=object)
-            for name in sorted(set(lang)):
-                gram, n = np.unique(h[(lang == name)[owner]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-    sample = rows.where(within).groupBy("lang", "r").agg(F.first("text").alias("text")).select("lang", "text")
-    counted = map_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
-    found = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most LANGUAGES x GRAMS
-    return Filters.of({r["lang"]: np.array(r["grams"], np.int64).view(U64) for r in found} | {c["lang"]: np.zeros(0, U64) for c in cut if c["lang"] not in {r["lang"] for r in found}})
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame([tuple(c) for c in cut], "taught string, most long"))
+    sample = rows.join(bounds, (F.col("lang") == F.col("taught")) & (F.col("r") <= F.col("most")))
+    sample = sample.groupBy("lang", "r").agg(F.first("text").alias("text")).select("lang", "text")
+    counted = gram_counts(sample).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    each = min(most, max(ALL_GRAMS // len(cut), 1))
+    top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= each)
+    found = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most ALL_GRAMS
+    return Filters.of({c["lang"]: np.zeros(0, U64) for c in cut} | {r["lang"]: np.array(r["grams"], np.int64).view(U64) for r in found})
 
 
 def predict(documents: DataFrame, filters: Filters) -> DataFrame:

@@ -50,3 +50,35 @@ def test_filter_and_empty_table(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in kept.collect()} == set(range(240))
     assert m.identify(docs(spark, [])).collect() == []
+
+
+def test_gram_rows_do_not_depend_on_partitions(spark):
+    d = docs(spark, corpus()).select("lang", "text").where("lang is not null")
+    few, many = m.gram_counts(d.coalesce(1)), m.gram_counts(d.repartition(97))
+    assert few.count() == many.count() == sum(len(np.unique(m.grams([t])[0])) for _, t, lang in corpus() if lang)
+    total = lambda c: {(r.lang, r.gram): r.n for r in c.groupBy("lang", "gram").sum("n").toDF("lang", "gram", "n").collect()}
+    assert total(few) == total(many)
+
+
+def test_more_languages_than_a_mask_word(spark):
+    letters = "abcdefghij"
+    own = {f"l{i:02}": f"{letters[i // 10]}{letters[i % 10]}x" for i in range(70)}
+    rows = [(i * 10 + k, " ".join(s * (3 + k) for _ in range(20)), name) for i, (name, s) in enumerate(own.items()) for k in range(4)]
+    got = {r.doc_id: r.lang_pred for r in m.identify(docs(spark, rows)).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.97
+
+
+def test_shares_match_brute_force(spark):
+    f = m.learn(docs(spark, corpus()))
+    for text in ("kasoka su", "gen ung ach kaso", "лаврод", "x", "", "Ka, SU!"):
+        h = m.grams([text])[0]
+        masks = [{n for i, n in enumerate(f.names) if all(int(f.planes[0][a[j]]) >> i & 1 for a in m.probes(h))} for j in range(len(h))]
+        for i, n in enumerate(f.names):
+            share = sum(n in x for x in masks) / max(len(h), 1)
+            assert abs(f.shares([text])[0][0, i] - min(max((share - f.wrong[i]) / (1 - f.wrong[i]), 0), 1)) < 1e-9
+
+
+def test_clashing_columns(spark):
+    d = docs(spark, corpus(60)).selectExpr("*", "1 as tie", "2 as r", "3 as most", "4 as taught", "5 as rank", "6 as _row")
+    assert m.identify(d).count() == 60
+    assert m.keep_known(d).columns == d.columns
