@@ -11,14 +11,16 @@ Character references are decoded, white space inside a block becomes one space,
 empty line in page order.
 
 Cases. Null html counts as empty and gives an empty text. Truncated pages are read as far as they go; an unclosed
-comment, script or style runs to the end. Repeated rows are extracted as often. Very long pages take time in
-proportion to their length.
+comment, script or style runs to the end. After a tag whose quotes never close, tags end at the next ``>``. References to no
+character are one replacement character. Repeated rows are extracted as often. The scanner only moves on, so that
+long and broken pages take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,11 +30,13 @@ from curator.llm.spread import map_arrow
 
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.4, 0.12, 0.25
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+PLAIN = re.compile(r"[^\"'>]*")
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+#: Those of them that may end in their start tag.
+FOREIGN = frozenset(["svg", "math"])
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Elements that start a new block.
@@ -81,10 +85,66 @@ def taken_out(tag: str, rest: str, inside: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, element, is an end tag, attributes) of what is between ``<`` and ``>``; element None: nothing but to be left out.
+
+    Every search starts where the last one ended or is made once a page.
+    """
+    at, quotes, last = page.find("<"), True, page.rfind(">")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield at, len(page) if end < 0 else end + 3, None, False, ""
+            at = -1 if end < 0 else page.find("<", end + 3)
+            continue
+        if at > last:
+            at = page.find("<!--", at)  # nothing else can be complete
+            continue
+        if page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, None, False, ""
+            at = page.find("<", end)
+            continue
+        closing = page[at + 1] == "/"
+        name = NAME.match(page, at + 1 + closing)
+        if name is None:
+            at = page.find("<", at + 1)
+            continue
+        tag = name[0].lower()
+        if tag in RAW and not closing:
+            end = page.find(">", at) + 1
+            if page[end - 2] != "/" or tag not in FOREIGN:
+                stop = RAW_END[tag].search(page, end)
+                end = stop.end() if stop else len(page)
+            yield at, end, None, False, ""
+            at = page.find("<", end)
+            continue
+        end = PLAIN.match(page, name.end()).end() if quotes else page.find(">", name.end())
+        while quotes and end < len(page) and page[end] != ">":
+            close = page.find(page[end], end + 1)
+            if close < 0:
+                end = len(page)
+                break
+            end = PLAIN.match(page, close + 1).end()
+        if end == len(page):
+            quotes, end = False, page.find(">", name.end())
+        yield at, end + 1, tag, closing, page[name.end() : end]
+        at = page.find("<", end + 1)
+
+
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded, in time in proportion to its length."""
+    if "&#" in text:
+        text = re.sub(r"&#0++(?=[0-9])", "&#", text)
+        text = re.sub(r"&#[0-9]{8,};?|&#[xX]0*+[0-9a-fA-F]{7,};?", "\ufffd", text)
+    return html.unescape(text)
+
+
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, number of the innermost article or 0) of every block that was not taken out."""
     out: list[tuple[str, int, int]] = []
     open_: list[tuple[str, bool, int]] = []  # element, taken out, article
+    opened: Counter[str] = Counter()  # elements in it
     parts: list[str] = []
     linked = links = articles = 0
     loose_out = None  # an element with a missing end tag that is taken out
@@ -92,42 +152,41 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join(decoded("".join(parts)).split())
         if text:
             out.append((text, linked, open_[-1][2] if open_ else 0))
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at and loose_out is None and not (open_ and open_[-1][1]):
-            piece = page[at : m.start()]
+    for start, end, tag, closing, rest in tokens(page):
+        if start > at and loose_out is None and not (open_ and open_[-1][1]):
+            piece = page[at:start]
             parts.append(piece)
             linked += len(piece.strip()) if links > 0 else 0
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag == "a":
-            links = 0 if m["end"] else 1
+            links = 0 if closing else 1
             continue
         if tag in BLOCK:
             flush()
             links = 0
             loose_out = None
-        if m["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    del open_[i:]
+        if closing:
+            while opened[tag]:
+                name = open_.pop()[0]
+                opened[name] -= 1
+                if name == tag:
                     break
             continue
-        if tag in VOID or m["rest"].endswith("/") and tag not in BLOCK:
+        if tag in VOID or rest.endswith("/") and tag not in BLOCK:
             continue
         _, out_now, article = open_[-1] if open_ else ("", False, 0)
-        gone = out_now or taken_out(tag, m["rest"], article > 0)
+        gone = out_now or taken_out(tag, rest, article > 0)
         if tag in LOOSE:
             loose_out = tag if gone and not out_now else None
             continue
@@ -136,6 +195,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             article = articles
         if tag in BLOCK or gone:
             open_.append((tag, gone, article))
+            opened[tag] += 1
     if at < len(page) and loose_out is None and not (open_ and open_[-1][1]):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!?][^<>]*\Z", rest)  # a tag that the page's end cut off
