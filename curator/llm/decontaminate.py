@@ -12,13 +12,16 @@ A piece of words is also found if one word between its first and its last was re
 are as they were. The longer side of the word then is whole, on one diagonal, and shares all of its q-grams: the bound is the least of
 these numbers over the words, if lower. A word that leaves under q characters on both sides is not looked for that way.
 
+An item under ``least`` compared characters is found where it stands unchanged between word borders. One under q characters has no
+q-gram and is found where it is all of a document, as elsewhere it could not be told from chance.
+
 The benchmark is a stated query set: it is read in blocks of about ``BLOCK_CHARS`` characters, chosen by hash after its size was
-measured, and each block is searched in one pass over the documents, without a shuffle. Only a block is ever on
-the driver.
+measured, and each block is searched in one pass over the documents, without a shuffle. Blocks are searched one after the other: only
+one is on the driver and the executors at a time, about 200 bytes for each of its characters.
 
-Cases. Null and empty texts contain nothing. Items shorter than ``least`` compared characters cannot be told from
-chance and are not searched for. A null item_id or doc_id is carried as it is. Repeated items give repeated hits;
-repeated documents too. Very long texts are searched whole.
+Cases. Null and empty texts contain nothing, and null and empty items are in nothing. A null item_id or doc_id is carried as it is. Equal
+items (id and text) are one; items that share an id only are items of their own, with rows of their own. Repeated documents give
+repeated rows. Very long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -31,12 +34,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from curator.llm.arrow import U64, WORD_BASE, mix, slices
 from curator.llm.chars import points, tables
 from curator.llm.spread import drop_rows, map_arrow
+from curator.scratch import materialize
 
-Q, PIECE, LEAST, EDIT_RATE, BLOCK_CHARS = 12, 80, 30, 0.06, 4_000_000
+Q, PIECE, LEAST, EDIT_RATE, BLOCK_CHARS = 12, 80, 30, 0.06, 400_000
 #: Words of a piece, and the most characters that replace one.
 RUN, OTHER = 13, 24
 TABLE_BITS = 22
@@ -67,7 +72,8 @@ def qgrams(c: np.ndarray, q: int) -> np.ndarray:
 class Pieces:
     """Pieces of a block of items with their edit budgets, and the places of all their q-grams."""
 
-    item: list
+    items: list  # their ids
+    item: np.ndarray  # number of each piece's item
     chars: list[np.ndarray]
     edits: np.ndarray
     need: np.ndarray
@@ -76,13 +82,21 @@ class Pieces:
     place: np.ndarray
     seen: np.ndarray  # a bit map of the q-grams' low bits
     inner: list[list[tuple[int, int]]]  # starts and ends of the words that may be replaced
+    least: int  # pieces with fewer characters stand between word borders
+    whole: dict[bytes, list[int]]  # pieces that are all of a text
 
     @classmethod
     def of(cls, items: list[tuple], q: int = Q, piece: int = PIECE, least: int = LEAST, rate: float = EDIT_RATE, run: int = RUN) -> Pieces:
         c, at, first, off = compared([t or "" for _, t in items])
-        ids, chars, inner = [], [], []
-        for n, ((i, t), a, b) in enumerate(zip(items, first.tolist(), first[1:].tolist())):
+        ids, chars, inner, all_of = [], [], [], {}
+        for n, ((_, t), a, b) in enumerate(zip(items, first.tolist(), first[1:].tolist())):
             if b - a < max(least, q):
+                if a < b:
+                    if b - a < q:
+                        all_of.setdefault(c[a:b].tobytes(), []).append(len(ids))
+                    ids.append(n)
+                    chars.append(c[a:b])
+                    inner.append([])
                 continue
             places = {(s, min(s + piece, b)): [] for s in [*range(a, b - piece, piece // 2), max(a, b - piece)]}
             begin = [w.start() for w in re.finditer(r"\S+", t)]
@@ -98,22 +112,23 @@ class Pieces:
             if len(begin) <= run and (a, b) in places:
                 places[a, b] = [(u - a, v - a) for u, v in zip(word[1:], word[2:]) if a < u < v < b]
             for (s, e), words in places.items():
-                ids.append(i)
+                ids.append(n)
                 chars.append(c[s:e])
                 inner.append(words)
         m = np.array([len(x) for x in chars], np.int64)
         edits = np.minimum((m * rate).astype(np.int64), (m - q) // q)  # a bound under one q-gram would filter nothing
+        edits[m < max(least, q)] = 0
         grams = [qgrams(x, q) for x in chars]
         gram = np.concatenate([np.zeros(0, U64), *grams])
-        owner = np.repeat(np.arange(len(chars)), [len(g) for g in grams])
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
+        owner = np.repeat(np.arange(len(chars), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.zeros(0, np.int16), *[np.arange(len(g), dtype=np.int16) for g in grams]])
         order = np.argsort(gram, kind="stable")
         seen = np.zeros(1 << TABLE_BITS, bool)
         seen[(gram & U64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
         inner = [[(u, v) for u, v in w if max(u, x - v) >= q] for w, x in zip(inner, m)]
         need = m - q + 1 - q * edits
         need = np.array([min([n, *[max(u, x - v) - q + 1 for u, v in w]]) for n, w, x in zip(need, inner, m)], np.int64)
-        return cls(ids, chars, edits, need, gram[order], owner[order], place[order], seen, inner)
+        return cls([i for i, _ in items], np.array(ids, np.int64), chars, edits, need, gram[order], owner[order], place[order], seen, inner, max(least, q), all_of)
 
 
 def align(piece: np.ndarray, text: np.ndarray, most: int, low: int, high: int) -> tuple[int, int] | None:
@@ -182,6 +197,11 @@ def replaced(piece: np.ndarray, inner: list[tuple[int, int]], text: np.ndarray,
 def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, piece, start, end, edits) of every verified occurrence; start and end count characters of the text."""
     c, at, first, off = compared(texts)
+    size = np.diff(first)
+    for d in np.flatnonzero((size > 0) & (size < q)).tolist() if pieces.whole else ():
+        a, b = int(first[d]), int(first[d + 1])
+        for o in pieces.whole.get(c[a:b].tobytes(), ()):
+            yield d, o, int(at[a] - off[d]), int(at[b - 1] - off[d] + 1), 0
     h = qgrams(c, q)
     p = np.flatnonzero(pieces.seen[(h & U64((1 << TABLE_BITS) - 1)).astype(np.int64)])
     left = np.searchsorted(pieces.gram, h[p], "left")
@@ -196,7 +216,7 @@ def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int,
     for a, b in zip(cut, cut[1:]):
         n = count[a:b]
         hit = np.repeat(left[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        owner, d = pieces.owner[hit], np.repeat(doc[a:b], n)
+        owner, d = pieces.owner[hit].astype(np.int64), np.repeat(doc[a:b], n)
         diagonal = np.repeat(p[a:b] - first[doc[a:b]], n) - pieces.place[hit] + 4096  # above zero: pieces are shorter
         band = diagonal // (pieces.edits[owner] + 1)
         key = np.stack([np.concatenate([d, d]), np.concatenate([owner, owner]), np.concatenate([band, band - 1])])
@@ -232,6 +252,10 @@ def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int,
             edits, stop = found
             stop += shift
             start = max(0, stop - len(x) - e) if edits else stop - len(x)
+        if len(x) < pieces.least:
+            i, j = a + start, a + stop
+            if start and at[i] - at[i - 1] == 1 or j < first[d + 1] and at[j] - at[j - 1] == 1:
+                continue  # within a word
         if (d, o, stop) not in done:
             done.add((d, o, stop))
             yield d, o, int(at[a + start] - off[d]), int(at[a + stop - 1] - off[d] + 1), edits
@@ -239,31 +263,34 @@ def regions(texts: list[str], pieces: Pieces, q: int = Q) -> Iterator[tuple[int,
 
 def search(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item that share a region: doc_id, tie, item_id, pieces found, first start, last end, least edits."""
-    items = benchmark.select("item_id", "text").where("text is not null")
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     d = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((documents, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {id_type}, tie long, item_id {item_type}, pieces int, start int, end int, edits int"
+    id_type, item_type = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema = f"doc_id {id_type}, tie long, item_id {item_type.simpleString()}, pieces int, start int, end int, edits int"
     out = None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         pieces = d.sparkSession.sparkContext.broadcast(Pieces.of(sorted(((r.item_id, r.text) for r in block.collect()), key=str)))
-        found = map_arrow(d, _searcher(pieces), schema)
+        found = map_arrow(d, _searcher(pieces, to_arrow_type(item_type)), schema)
+        if blocks > 1:
+            found = materialize(found, "benchmark-block")
+            pieces.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(pieces):
+def _searcher(pieces, item_type: pa.DataType):
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         k = pieces.value
         for part in slices(b, "text", 1_000_000):
-            seen: dict[tuple, list[int]] = {}
+            seen: dict[tuple[int, int], list[int]] = {}
             for d, o, start, end, edits in regions([t or "" for t in part.column("text").to_pylist()], k):
-                x = seen.setdefault((d, k.item[o]), [0, start, end, edits])
+                x = seen.setdefault((d, int(k.item[o])), [0, start, end, edits])
                 x[:] = [x[0] + 1, min(x[1], start), max(x[2], end), min(x[3], edits)]
             take = pa.array([d for d, _ in seen], pa.int64())
-            columns = [part.column("doc_id").take(take), part.column("tie").take(take), pa.array([i for _, i in seen])]
+            columns = [part.column("doc_id").take(take), part.column("tie").take(take), pa.array([k.items[i] for _, i in seen], item_type)]
             columns += [pa.array([x[i] for x in seen.values()], pa.int32()) for i in range(4)]
             if seen:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "item_id", "pieces", "start", "end", "edits"])

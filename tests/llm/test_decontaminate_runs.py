@@ -11,7 +11,7 @@ ITEMS = [(i, " ".join(words(i, 20 + 4 * i))) for i in range(9)]
 
 def found(texts, items=ITEMS):
     pieces = m.Pieces.of(items)
-    return {(d, pieces.item[o]) for d, o, *_ in m.regions(texts, pieces)}
+    return {(d, pieces.items[pieces.item[o]]) for d, o, *_ in m.regions(texts, pieces)}
 
 
 def surrounded(w, k):
