@@ -1,15 +1,16 @@
 """Near duplicates by 64-bit SimHash fingerprints, linked at a few differing bits.
 
-Method. Pairs are judged in the space of distances to reference fingerprints (pivots): by the triangle
-inequality, two fingerprints within ``k`` bits have distances to any pivot that differ by at most ``k``. A pair
-whose largest coordinate difference exceeds ``k`` is discarded; survivors are verified by their exact distance.
-
-The triangle inequality gives no equi-join by itself: distances to a pivot of 64 bits crowd around 32, and cells
-of a grid over them would hold nearly all rows or be replicated 2**pivots times. Pairs therefore come from buckets
-that lose none: of ``blocks`` bit blocks at most ``k`` differ, so with six blocks and four bits two blocks agree,
-and each pair of blocks is a bucket key of about 21 bits. Equal fingerprints are one row before that. Within a
-bucket the pivot table decides. A bucket with more than ``TILE`` fingerprints is dealt to pairs of chunks of it,
-so no task holds more than two chunks of one bucket.
+Method. Every fingerprint has a row in a table of Hamming distances to reference fingerprints (pivots), taken block by block: a coordinate
+is the distance to one pivot over one of ``blocks`` runs of bits. By the triangle inequality the largest coordinate difference within a
+block is at most the distance within it, so those of all blocks add up to at most the distance of two fingerprints.
+
+Candidates come from the table. If two fingerprints are within ``k`` bits, at most ``k`` blocks have a coordinate difference
+above zero, so some ``blocks - k`` blocks agree in all coordinates: each choice of so many blocks, with its coordinates, is
+a bucket, and no pair is lost. (Cells over distances to whole pivots would not do: those crowd around 32 of 64 bits, so that a cell
+of k bits holds most rows.) Within a bucket a pair whose largest coordinate differences add up to more than ``k`` is discarded; survivors are
+verified by their exact distance. Equal fingerprints are one row before that. The number of blocks grows with the number of
+fingerprints, so that a bucket holds few by chance. A bucket with more than ``TILE`` fingerprints is dealt to pairs of
+chunks of it, so no task holds more than two chunks of one bucket.
 
 A bucket's links are reduced to a spanning forest of them before they leave the task, so that thousands of near copies
 do not become millions of pairs; components are the same.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -35,7 +37,9 @@ from curator.llm.components import components
 from curator.llm.spread import drop_rows, map_arrow
 from curator.scratch import materialize
 
-SHINGLE, SEED, MOST_BITS, BLOCKS, PIVOTS, TILE = 4, 42, 4, 6, 24, 4096
+SHINGLE, SEED, MOST_BITS, PIVOTS, TILE = 4, 42, 4, 12, 4096
+#: Fingerprints that may share a bucket by chance, on average, and the most blocks beyond the bits that may differ.
+BY_CHANCE, MOST_SPARE = 64, 5
 
 BYTES = U64(0x0101010101010101)
 
@@ -96,20 +100,46 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.sha256(b"pivot %d" % i).digest()[:8], "big") for i in range(n)], dtype=U64)
 
 
-def masks(most: int = MOST_BITS, blocks: int = BLOCKS) -> list[int]:
-    """Bit masks of the bucket keys: all choices of ``blocks - most`` blocks, which no pair within ``most`` bits can differ in all of."""
+def blocks_for(n: int, most: int = MOST_BITS) -> int:
+    """Blocks for ``n`` fingerprints: the fewest whose buckets hold ``BY_CHANCE`` by chance at most; twelve pivots tell over nine tenths of a block's bits."""
+    bits = lambda b: 0.9 * 64 * (b - most) / b
+    return next((b for b in range(most + 2, most + MOST_SPARE) if n <= BY_CHANCE * 2 ** bits(b)), most + MOST_SPARE)
+
+
+def masks(blocks: int) -> list[int]:
+    """The bits of each block."""
+    if not 5 <= blocks <= 64:
+        raise ValueError("a block has 1 to 13 bits")  # a coordinate takes four bits
     cut = [64 * i // blocks for i in range(blocks + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:])]
-    return [sum(c) for c in combinations(block, blocks - most)]
+    return [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:])]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def coordinates(fp, mask: int):
+    """A column of the pivots' distances over one block, four bits each."""
+    each = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(signed(int(p)))).bitwiseAND(F.lit(signed(mask)))).cast("long"), 4 * i) for i, p in enumerate(pivots())]
+    return reduce(lambda a, b: a.bitwiseOR(b), each)
 
-def linked(fp: np.ndarray, bucket: np.ndarray, side: np.ndarray, most: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``bucket``; for runs over 8 rows a forest of them. table: pivots' distances."""
+
+def table(fp: np.ndarray, blocks: int) -> np.ndarray:
+    """The same for fingerprints at hand: rows x blocks x pivots."""
+    apart = fp[:, None] ^ pivots()[None, :]
+    return np.stack([np.bitwise_count(apart & U64(m)) for m in masks(blocks)], axis=1).astype(np.int8)
+
+
+def linked(fp: np.ndarray, bucket: np.ndarray, most: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal ``bucket``; for runs over 8 rows a forest of them."""
+    distances = table(fp, blocks)
 
     def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for c in range(table.shape[1]):  # one pivot after the other, on what is left
-            keep = np.abs(table[i, c] - table[j, c]) <= most
-            i, j = i[keep], j[keep]
+        least = np.zeros(len(i), np.int64)
+        for b in range(blocks):  # one block after the other, on what is left
+            least += np.abs(distances[i, b] - distances[j, b]).max(axis=1, initial=0)
+            keep = least <= most
+            i, j, least = i[keep], j[keep], least[keep]
             if len(i) < 64:
                 break
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= most
@@ -142,24 +172,26 @@ def forest(bucket: np.ndarray, near: Callable[[np.ndarray, np.ndarray], tuple[np
     return a, b
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+def buckets(distinct: DataFrame, most: int, blocks: int) -> DataFrame:
+    """fp and bucket: a row for each choice of ``blocks - most`` blocks, bucket being a hash of their coordinates."""
+    rows = distinct.select("fp", *[coordinates(F.col("fp"), m).alias(f"c{i}") for i, m in enumerate(masks(blocks))])
+    keys = [F.xxhash64(F.lit(k), *[f"c{i}" for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - most))]
+    return rows.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+
+
+def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int | None = None) -> DataFrame:
     """Edges (a < b) between distinct fingerprints ``fp`` that connect all pairs within ``most`` bits."""
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for k, m in enumerate(masks(most, blocks))]))
-    keyed = distinct.select("fp", keys.alias("key")).select("fp", "key.k", "key.v")
-    sizes = keyed.groupBy("k", "v").count()
-    hot = sizes.where(F.col("count") > TILE).select("k", "v", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
+    blocks = blocks or blocks_for(distinct.count(), most)
+    keyed = buckets(distinct, most, blocks)
+    hot = keyed.groupBy("bucket").count().where(F.col("count") > TILE).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
     hot = materialize(hot, "hot-buckets")
-    cold, tiles = keyed, None
+    rows = keyed
     if hot.limit(1).count():
-        h = hot.select(F.col("k").alias("hk"), F.col("v").alias("hv"), "chunks")
-        marked = keyed.join(h, (F.col("k") == F.col("hk")) & (F.col("v") == F.col("hv")), "left")
+        marked = keyed.join(hot, F.col("bucket") == F.col("hot"), "left")
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         tiles = marked.where("chunks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        tiles = tiles.select("fp", F.xxhash64("k", "v", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-        cold = marked.where("chunks is null").select("fp", "k", "v")
-    rows = cold.select("fp", F.xxhash64("k", "v").alias("bucket"))
-    rows = rows.unionByName(tiles) if tiles is not None else rows
-    reference = pivots()
+        tiles = tiles.select("fp", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+        rows = marked.where("chunks is null").select("fp", "bucket").unionByName(tiles)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, bucket = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -178,19 +210,21 @@ def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS) -> D
                 several[:-1] |= several[1:]
                 f, k = f[several], k[several]
             if len(f) > 1:
-                table = np.bitwise_count(f[:, None] ^ reference[None, :]).astype(np.int8)
-                x, y = (z.view(np.int64) for z in linked(f, k, f, most, table))
+                x, y = (z.view(np.int64) for z in linked(f, k, most, blocks))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(near, "a long, b long").where("a < b").distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, tie, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
-    rows = materialize(fingerprints(documents), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """doc_id, tie, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
+
+    Fingerprints are of ``size`` words' shingles; those within ``most`` bits are linked.
+    """
+    rows = materialize(fingerprints(documents, size), "fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = materialize(components(links(nodes.select("fp"), most)), "roots")
     members = nodes.join(roots, nodes["fp"] == roots["node"])
     named = members.groupBy("root").agg(F.min("least").alias("smallest"))
     linked_nodes = roots.join(named, "root").select(F.col("node"), "smallest")
@@ -200,16 +234,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return keep_smallest(documents, near_duplicates(documents))
+    return keep_smallest(documents, near_duplicates(documents, size, most))
 
 
 def keep_smallest(documents: DataFrame, grouped: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component. grouped: doc_id, tie, component_id."""
-    rows = grouped.groupBy("doc_id", "tie", "component_id").agg(F.count("*").alias("times"))
+    rows = materialize(grouped.groupBy("doc_id", "tie", "component_id").agg(F.count("*").alias("times")), "members")
     # rows that share the smallest id differ in their text: the smallest hash of it stays
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("first")).select(F.col("component_id").alias("c"), "first")
+    first = materialize(first, "first-members")  # sides of their own, so that adaptive execution can split a hot component
     mine = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
     judged = rows.join(first, F.col("component_id").eqNullSafe(F.col("c"))).withColumn("keep_one", mine.eqNullSafe(F.col("first")))
     return drop_rows(documents, judged.where("not keep_one or times > 1").select("doc_id", "tie", "keep_one"))
