@@ -15,8 +15,9 @@ interior is its own anchor; windows within a run of one word are all alike and f
 
 Only anchors are shuffled, about one for every dozen words, not windows. Names found once end there. An anchor
 whose whole stretch is found twice proves all its windows. For the other shared names the texts are read
-again, one text for each different stretch, and their windows are compared one by one by 64-bit hash within the
-64-bit name. Both proofs rest on 128 bits of independent hash of the same words.
+again, one text for each different stretch, and their windows are compared one by one within the name. Names only bring windows
+together: whether they are equal is told by a BLAKE2b digest of 128 bits of their words' own bytes, joined by one space, so a
+chance or made collision of names costs time and removes nothing.
 
 Cases. Null and empty texts have no words. Texts shorter than a window lose nothing. Rows are told apart by
 doc_id and a hash of the text; a null doc_id is an id like any other. Repeated rows count as separate starts, so
@@ -29,19 +30,57 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curator.llm.arrow import U64, WORD_BASE, WORD_POWERS, hashes, mix, owners, slices, utf8, words
+from curator.llm.arrow import U64, WORD_BASE, WORD_POWERS, mix, owners, slices, utf8, words
 from curator.llm.spread import among, map_arrow
 from curator.scratch import discard, materialize
 
 WINDOW, ROUNDS = 35, 4
 #: Odd multipliers that keep the parts of a name apart.
-LEFT, RUN, PLACE, SECOND = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
+LEFT, RUN, SECOND = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0x165667B19E3779F9)
+#: Words whose names a worker remembers, and the longest of them in bytes; the memo is emptied when full.
+MEMO, REMEMBERED = 500_000, 64
+
+
+class Names(dict):
+    """The name of each word: 64 bits of its BLAKE2b digest."""
+
+    def __missing__(self, word: bytes) -> int:
+        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= REMEMBERED:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = name
+        return name
+
+
+NAMES = Names()
+
+
+class Text:
+    """The words of a slice of rows: their names, each row's first word (one more than rows), and digests of ranges of them."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
+        start, end, self.first = words(raw, off)
+        self.data, self.start, self.end = raw.tobytes(), start.tolist(), end.tolist()
+        rows = [self.data[a:b] for a, b in zip(off.tolist(), off[1:].tolist())]
+        self.name = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(map(bytes.split, rows))), U64, len(start))
+        # after how many words something else than one blank follows
+        plain = (start[1:] - end[:-1] == 1) & (raw[np.minimum(end[:-1], len(raw) - 1)] == 0x20) if len(start) else np.zeros(0, bool)
+        self.broken = np.concatenate([[0], np.cumsum(~plain)]).tolist()
+
+    def digest(self, at: int, n: int, more: bytes = b"") -> bytes:
+        """Of ``n`` words from word ``at`` on, joined by one space, and of ``more``."""
+        part = self.data[self.start[at] : self.end[at + n - 1]]
+        if self.broken[at + n - 1] != self.broken[at]:
+            part = b" ".join(part.split())
+        return hashlib.blake2b(part, digest_size=16, key=more).digest()
 
 
 @dataclass
@@ -150,39 +189,36 @@ def sums(h: np.ndarray) -> np.ndarray:
 
 
 def window_hash(total: np.ndarray, at: np.ndarray, length) -> np.ndarray:
-    """A hash of the ``length`` words from each of ``at``, independent of the names."""
+    """A name for the ``length`` words from each of ``at``."""
     return mix((total[at + length] - total[at]) * WORD_POWERS.upto(len(total))[1][at] ^ SECOND)
 
 
-def sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Text]]:
     for part in slices(batch, "text"):
-        raw, off = utf8(part.column("text"))
-        start, end, first = words(raw, off)
-        yield part, raw, start, end, first
+        yield part, Text(*utf8(part.column("text")))
 
 
 def anchors(documents: DataFrame, size: int, rounds: int) -> DataFrame:
-    """A row for each stretch: name, hash of the whole stretch, row's id and tie, first window, windows."""
+    """A row for each stretch: name, digest of the whole stretch and its anchor's place, row's id and tie, first window, windows."""
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, raw, start, end, first in sliced(b):
-            h = hashes(raw, start, end)
-            w = windows(h, first, size, rounds)
+        for part, t in sliced(b):
+            w = windows(t.name, t.first, size, rounds)
             if not len(w.word):
                 continue
             new = np.append(True, (w.group[1:] != w.group[:-1]) | (w.row[1:] != w.row[:-1]))
             second = np.append(False, new[:-1]) & ~new & w.alike  # two alike in one run prove each other
             at = np.flatnonzero(new | second)
             n = np.diff(np.append(at, len(new)))
-            whole = window_hash(sums(h), w.word[at], n + size - 1)
-            whole = np.where(w.alike[at], mix(w.name[at]), mix(whole + n.astype(U64) * RUN + w.offset[at].astype(U64) * PLACE))
+            covered = np.where(w.alike[at], size, n + size - 1)
+            whole = [t.digest(x, k, b"%d" % o) for x, k, o in zip(w.word[at].tolist(), covered.tolist(), w.offset[at].tolist())]
             take = pa.array(w.row[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w.name[at].view(np.int64)), pa.array(whole.view(np.int64)), part.column("doc_id").take(take), part.column("tie").take(take), pa.array((w.word[at] - first[w.row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(w.name[at].view(np.int64)), pa.array(whole, pa.binary()), part.column("doc_id").take(take), part.column("tie").take(take), pa.array((w.word[at] - t.first[w.row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 ["name", "whole", "doc_id", "tie", "p", "n"],
             )
 
-    return map_arrow(documents, batch, f"name long, whole long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, tie long, p int, n int")
+    return map_arrow(documents, batch, f"name long, whole binary, doc_id {documents.schema['doc_id'].dataType.simpleString()}, tie long, p int, n int")
 
 
 def window_rows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
@@ -190,8 +226,7 @@ def window_rows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part, raw, start, end, first in sliced(b):
-            total = sums(hashes(raw, start, end))
+        for part, t in sliced(b):
             at = part.column("at")
             at = at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at
             count = np.diff(at.offsets.to_numpy())
@@ -200,16 +235,16 @@ def window_rows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
             row = np.repeat(np.repeat(np.arange(len(count)), count), n)
             which = np.repeat(np.arange(len(p)), n)
             q = p[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            hashed = window_hash(total, first[row] + q, size)
-            for i in range(0, len(q), 200_000):
-                j = slice(i, i + 200_000)
+            for i in range(0, len(q), 100_000):
+                j = slice(i, i + 100_000)
                 take = pa.array(row[j])
+                digest = [t.digest(x, size) for x in (t.first[row[j]] + q[j]).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[which[j]]), pa.array(hashed[j].view(np.int64)), part.column("doc_id").take(take), part.column("tie").take(take), pa.array(q[j].astype(np.int32)), pa.array(times[which[j]])],
+                    [pa.array(name[which[j]]), pa.array(digest, pa.binary()), part.column("doc_id").take(take), part.column("tie").take(take), pa.array(q[j].astype(np.int32)), pa.array(times[which[j]])],
                     ["name", "hash", "doc_id", "tie", "p", "times"],
                 )
 
-    return map_arrow(texts, batch, f"name long, hash long, doc_id {kind}, tie long, p int, times long")
+    return map_arrow(texts, batch, f"name long, hash binary, doc_id {kind}, tie long, p int, times long")
 
 
 def same_row(a: DataFrame, b: DataFrame):
@@ -218,7 +253,7 @@ def same_row(a: DataFrame, b: DataFrame):
 
 def with_lists(documents: DataFrame, lists: DataFrame, value) -> tuple[DataFrame, DataFrame]:
     """Rows of ``documents`` with the list ``at`` of their ``value``s, and the rows that surely have none."""
-    by_row = lists.groupBy("doc_id", "tie").agg(F.collect_list(value).alias("at")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "at")
+    by_row = lists.distinct().groupBy("doc_id", "tie").agg(F.collect_list(value).alias("at")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "at")
     d = among(documents, F.xxhash64("doc_id", "tie"), lists.select(F.xxhash64("doc_id", "tie").alias("member")))
     some, none = d.where("maybe_member").drop("maybe_member"), d.where("not maybe_member").drop("maybe_member")
     return some.join(by_row, same_row(some, by_row), "left").drop("_id", "_tie"), none
@@ -259,11 +294,12 @@ def substring_dedup(documents: DataFrame, size: int = WINDOW, rounds: int = ROUN
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         marked = "at" in b.schema.names
-        for part, raw, start, end, first in sliced(b):
+        for part in slices(b, "text"):
+            raw, off = utf8(part.column("text"))
+            start, end, first = words(raw, off)
             gone = np.zeros(len(start) + 1, np.int64)
             if marked:
-                at = part.column("at")
-                lists = at.to_pylist()
+                lists = part.column("at").to_pylist()
                 for i, ranges in enumerate(lists):
                     for r in ranges or ():
                         gone[first[i] + r["p"]] += 1

@@ -66,3 +66,38 @@ def test_text_and_ranges(spark):
 
 def test_empty_table(spark):
     assert m.substring_dedup(docs(spark, [])).collect() == []
+
+
+def thue_morse(n, a, b):
+    return [b if i.bit_count() & 1 else a for i in range(n)]
+
+
+def test_made_collisions_of_sums_remove_nothing(spark):
+    w, x, y = words(1, 34), "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    rows = [(1, " ".join([*w, x])), (2, " ".join([*w, y])), (3, " ".join(thue_morse(2048, "p", "q"))), (4, " ".join(thue_morse(2048, "q", "p")))]
+    result = got(m.substring_dedup(docs(spark, rows)))
+    assert result == brute(rows)
+    assert {n for d, _, n, _ in result if d in (1, 2)} == {0}
+
+
+def test_equal_names_of_different_words_remove_nothing(spark, monkeypatch):
+    # in local mode workers import the module anew, so the operator's own steps are run here
+    monkeypatch.setattr(m.Names, "__missing__", lambda self, word: len(word))
+    m.NAMES.clear()
+    raw, off = m.utf8(m.pa.array([" ".join(f"{c}a" for c in "abcdefghijkl"), " ".join(f"{c}b" for c in "abcdefghijkl")]))
+    t = m.Text(raw, off)
+    m.NAMES.clear()
+    assert len(set(t.name.tolist())) == 1
+    assert t.digest(0, 12) != t.digest(12, 12)
+
+
+def test_digests_are_of_words(spark):
+    t = m.Text(*m.utf8(m.pa.array(["a  b c d", "a b\tc d", None, "a b c d"])))
+    assert len({t.digest(i, 4) for i in (0, 4, 8)}) == 1 and t.digest(0, 3) != t.digest(1, 3)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    p = " ".join(words(1, 60))
+    rows = [(1, p)] * 30 + [(2, p + " end"), (3, " ".join(words(2, 60)))]
+    d = docs(spark, rows).selectExpr("*", "1 as tie", "2 as at", "3 as name", "4 as _id", "5 as maybe_member")
+    assert got(m.substring_dedup(d)) == brute(rows)
