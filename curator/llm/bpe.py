@@ -4,7 +4,8 @@ For every prefix of a pre-token's bytes there is exactly one last token that its
 ``t`` that ends there, whose start is a prefix with last token ``s``, such that ``s`` and ``t`` can stand side by
 side (their bytes together encode to just these two). The table of these last tokens is the encoding of every
 prefix at once, and pre-tokens that begin alike share it: a worker keeps the last tokens of the prefixes it has
-met. Bytes are appended exactly by extending it, and after an edit it is recomputed from the edit only until it agrees
+asked for. A prefix is asked for its last token only where a token that begins behind it is in question, so most of a pre-token's prefixes
+are never looked at. Bytes are appended exactly by extending it, and after an edit it is recomputed from the edit only until it agrees
 again with the old table over the longest token's length.
 
 ``s, t`` can stand side by side iff no merge ever crosses their border. The pieces that touch the border while
@@ -47,6 +48,7 @@ class Vocabulary:
         self.right: dict[int, list[int]] = {}
         self.built: dict[bytes, int] = {}
         self.pairs: dict[int, bool] = {}  # by (left << 20) + right
+        self.reach: dict[bytes, int] = {}  # by the last three bytes, the longest token's length
         for token in sorted(self.bytes_of):
             b = self.bytes_of[token]
             parts = self.halves(b, token)
@@ -54,6 +56,7 @@ class Vocabulary:
                 continue
             a, c = parts
             self.built[b] = token
+            self.reach[b[-3:]] = max(self.reach.get(b[-3:], 0), len(b))
             self.left[token] = [*self.left.get(a, ()), token]
             self.right[token] = [*self.right.get(c, ()), token]
             for i in range(1, len(b)):
@@ -129,19 +132,6 @@ class Prefixes:
                 return t
         raise ValueError("the vocabulary lacks a byte")
 
-    @classmethod
-    def shared(cls, vocabulary: Vocabulary, data: bytes, table: dict[bytes, int]) -> Prefixes:
-        """The prefixes of ``data``, read from ``table`` (prefix to last token) as far as it has them and added to it."""
-        out, known = cls(vocabulary), len(data)
-        while known and data[:known] not in table:
-            known -= 1
-        out.data, last = data, out.last
-        last += [table[data[:j]] for j in range(1, known + 1)]
-        for j in range(known + 1, len(data) + 1):
-            t = table[data[:j]] = out._last(data, last, j)
-            last.append(t)
-        return out
-
     def append(self, more: bytes) -> None:
         """Extend the table; what is there stays as it is."""
         n, self.data = len(self.data), self.data + more
@@ -180,6 +170,8 @@ class Encoder(dict):
             raise ValueError("ranks must be below 2**20")
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
         self.table = self.vocabulary.bytes_of
+        self.size = {t: len(b) for t, b in self.table.items()}
+        self.decimal = {t: str(t) for t in self.table}
         self.prefixes: dict[bytes, int] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -191,9 +183,37 @@ class Encoder(dict):
             self.clear()
         if len(self.prefixes) >= PREFIXES:
             self.prefixes.clear()
-        ids = self[piece] = (whole,) if whole is not None else tuple(Prefixes.shared(self.vocabulary, data, self.prefixes).ids())
+        ids = self[piece] = (whole,) if whole is not None else self._ids(data)
         return ids
 
+    def _ids(self, data: bytes) -> tuple[int, ...]:
+        out, j, size = [], len(data), self.size
+        while j:
+            t = self._last(data[:j])
+            out.append(t)
+            j -= size[t]
+        return tuple(out[::-1])
+
+    def _last(self, prefix: bytes) -> int:
+        """The last token of a prefix, from the table or from the tokens it may end in, the longest first."""
+        known = self.prefixes.get(prefix)
+        if known is not None:
+            return known
+        v, n = self.vocabulary, len(prefix)
+        built, pairs = v.built, v.pairs
+        for i in range(max(0, n - v.reach.get(prefix[-3:], 2)), n):
+            t = built.get(prefix[i:])
+            if t is None:
+                continue
+            if i:
+                s = self._last(prefix[:i])
+                fits = pairs.get((s << 20) + t)
+                if not (v.side_by_side(s, t) if fits is None else fits):
+                    continue
+            self.prefixes[prefix] = t
+            return t
+        raise ValueError("the vocabulary lacks a byte")
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.pattern.findall(text))))
 
@@ -226,7 +246,7 @@ def encode_and_decode(documents: DataFrame, path: str, pattern: str, keep_ids: b
             for text in part.column("text").to_pylist():
                 ids = e.encode(text or "")
                 n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
                 if keep_ids:
                     kept.append(ids)
