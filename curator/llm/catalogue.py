@@ -15,7 +15,7 @@ from curator.llm.html_text import main_text
 from curator.llm.language import identify
 from curator.llm.simhash import near_duplicates
 from curator.llm.substring_dedup import substring_dedup
-from curator.llm.token_counts import count_edited, sample_edits
+from curator.llm.token_counts import count_sampled_edits
 from curator.llm.toxicity import detect
 from curator.llm.url_filter import judge
 
@@ -45,8 +45,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of the whole ``documents`` table before and after three edits a document."""
-    edited = sample_edits(_read(spark, sf_dir, "documents"))
-    return count_edited(edited, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return count_sampled_edits(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

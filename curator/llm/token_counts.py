@@ -1,11 +1,14 @@
 """Token counts of documents that are edited.
 
-A document is kept as its pre-tokens in leaves of about ``LEAF`` pre-tokens, with a segment tree above them whose nodes
-hold the characters and tokens below. An edit is found by descending on characters. Pre-tokens are cut from left to right
-without looking back, so only the region from the pre-token before the edit on is cut anew, and only until a
-new border meets an old one behind the edit; from there on all pre-tokens are as before. New pre-tokens are
-encoded, the leaves concerned are replaced, and the sums on their paths are updated. Counts equal those of encoding
-the edited text from scratch.
+A document is kept as its text cut into pre-tokens, in leaves of about ``LEAF`` pre-tokens, with the characters and tokens of each
+pre-token and a segment tree above the leaves whose nodes hold the characters and tokens below. Trees are rows of a table that is
+written: ``count_trees`` makes it from documents, ``apply_edits`` makes the next one from a table of trees and edits, without
+encoding what the edits leave alone, any number of times.
+
+An edit is found by descending on characters. Pre-tokens are cut from left to right without looking back, so only the
+region from the pre-token before the edit on is cut anew, and only until a new border meets an old one behind the edit; from there
+on all pre-tokens are as before. New pre-tokens are encoded, the leaves concerned are replaced, and the sums on their
+paths are updated. Counts equal those of encoding the edited text from scratch.
 
 Cases. Null text counts as empty. An edit (start, end, insert) replaces characters start to end of the text that the edits
 before it left; positions beyond the text are moved to its end, an end before its start counts as the start, null
@@ -15,7 +18,9 @@ inserts are empty and null positions 0. No edits, or null, leave the text as it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -23,8 +28,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curator.llm.arrow import slices
 from curator.llm.bpe import MEMO, read_ranks
 from curator.llm.spread import map_arrow
+from curator.scratch import materialize
 
 LEAF = 32
 
@@ -52,25 +59,51 @@ def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
 
 
+@dataclass
+class Leaf:
+    """Some pre-tokens in a row: their text, and the characters and tokens of each."""
+
+    text: str
+    chars: list[int]
+    counts: list[int]
+
+    def pieces(self) -> list[tuple[str, int]]:
+        end = list(accumulate(self.chars))
+        return [(self.text[e - n : e], c) for e, n, c in zip(end, self.chars, self.counts)]
+
+
 class CountTree:
     """A document's pre-tokens with a segment tree of characters and tokens."""
 
-    def __init__(self, tokens: Counter, text: str) -> None:
+    def __init__(self, tokens: Counter, leaves: list[Leaf], chars: list[int] | None = None, counts: list[int] | None = None) -> None:
+        """From leaves, and the nodes' sums where they are known."""
         self.tokens, self.encoded = tokens, 0
-        self._build(tokens.pattern.findall(text))
+        self._grow(leaves, chars, counts)
+
+    @classmethod
+    def of(cls, tokens: Counter, text: str) -> CountTree:
+        pieces = [(p, tokens[p]) for p in tokens.pattern.findall(text)]
+        return cls(tokens, [cls._leaf(pieces[i : i + LEAF]) for i in range(0, len(pieces), LEAF)])
+
+    @staticmethod
+    def _leaf(pieces: list[tuple[str, int]]) -> Leaf:
+        return Leaf("".join([p for p, _ in pieces]), [len(p) for p, _ in pieces], [c for _, c in pieces])
 
-    def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+    def _grow(self, leaves: list[Leaf], chars: list[int] | None = None, counts: list[int] | None = None) -> None:
+        self.leaves = leaves or [Leaf("", [], [])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
+        if chars is not None and counts is not None:
+            self.chars, self.counts = chars, counts
+            return
         self.chars, self.counts = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self._sum(i, leaf)
+        for i in range(len(self.leaves)):
+            self._sum(i)
         for i in range(self.size - 1, 0, -1):
             self._join(i)
 
-    def _sum(self, leaf: int, pieces: list[str]) -> None:
-        self.chars[self.size + leaf] = sum(map(len, pieces))
-        self.counts[self.size + leaf] = sum(map(self.tokens.__getitem__, pieces))
+    def _sum(self, leaf: int) -> None:
+        self.chars[self.size + leaf] = len(self.leaves[leaf].text)
+        self.counts[self.size + leaf] = sum(self.leaves[leaf].counts)
 
     def _join(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -85,7 +118,7 @@ class CountTree:
         return self.chars[1]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join([leaf.text for leaf in self.leaves])
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at`` (the last for the end) and the character where it starts."""
@@ -105,68 +138,70 @@ class CountTree:
         while first and (start - begin <= 0 or self._before(first, start - begin) < 2):  # the pre-token before the edit may change
             first -= 1
             begin -= self.chars[self.size + first]
-        last, at = self.find(end)
-        stop = at + self.chars[self.size + last]
+        last, _ = self.find(end)
         while True:
-            old = [p for leaf in self.leaves[first : last + 1] for p in leaf]
-            whole = "".join(old)
+            old = [p for leaf in self.leaves[first : last + 1] for p in leaf.pieces()]
+            whole = "".join([leaf.text for leaf in self.leaves[first : last + 1]])
             skip = self._skip(old, start - begin)
-            kept = sum(map(len, old[:skip]))
+            kept = sum(len(p) for p, _ in old[:skip])
             changed = whole[kept : start - begin] + insert + whole[end - begin :]
             complete = last + 1 >= len(self.leaves)
             new = self._cut(old, skip, kept, changed, len(insert) - (end - start), start - begin - kept + len(insert), complete)
             if new is not None:
                 break
-            last += 1
-            stop += self.chars[self.size + last]
+            last = min(len(self.leaves) - 1, 2 * last - first + 1)  # twice as many, so that a long region is cut few times
         self._put(first, last, new)
 
     def _before(self, leaf: int, chars: int) -> int:
         """Whole pre-tokens of the leaf's first ``chars`` characters."""
         n = 0
-        for p in self.leaves[leaf]:
-            chars -= len(p)
+        for p in self.leaves[leaf].chars:
+            chars -= p
             if chars < 0:
                 break
             n += 1
         return n
 
     @staticmethod
-    def _skip(old: list[str], chars: int) -> int:
+    def _skip(old: list[tuple[str, int]], chars: int) -> int:
         """Pre-tokens that stay in front: all but the last two that end at or before the edit."""
         n = 0
-        for p in old:
+        for p, _ in old:
             if len(p) > chars:
                 break
             chars -= len(p)
             n += 1
         return max(n - 2, 0)
 
-    def _cut(self, old: list[str], skip: int, kept: int, changed: str, shift: int, edited: int, complete: bool) -> list[str] | None:
+    def _cut(self, old: list[tuple[str, int]], skip: int, kept: int, changed: str, shift: int, edited: int, complete: bool) -> list[tuple[str, int]] | None:
         """Pre-tokens of the leaves after the edit; None if the text at hand ends too early to know."""
         borders, at = {}, kept
         for i in range(skip, len(old)):
             borders[at] = i
-            at += len(old[i])
-        new = old[:skip]
+            at += len(old[i][0])
+        new: list[str] = []
+        rest = None
         for m in self.tokens.pattern.finditer(changed):
-            if m.start() >= edited and (i := borders.get(kept + m.start() - shift)) is not None:
-                return new + old[i:]
+            if m.start() >= edited and (rest := borders.get(kept + m.start() - shift)) is not None:
+                break
             if not complete and m.end() > len(changed) - 2:
                 return None
             new.append(m[0])
-            self.encoded += 1
-        return new if complete else None
-
-    def _put(self, first: int, last: int, pieces: list[str]) -> None:
-        if len(pieces) > 4 * LEAF * (last - first + 1):
-            before, after = self.leaves[:first], self.leaves[last + 1 :]
-            self._build([p for leaf in before for p in leaf] + pieces + [p for leaf in after for p in leaf])
+        if rest is None and not complete:
+            return None
+        self.encoded += len(new)
+        return old[:skip] + [(p, self.tokens[p]) for p in new] + (old[rest:] if rest is not None else [])
+
+    def _put(self, first: int, last: int, pieces: list[tuple[str, int]]) -> None:
+        n = last - first + 1
+        if len(pieces) > 4 * LEAF * n:
+            new = [self._leaf(pieces[i : i + LEAF]) for i in range(0, len(pieces), LEAF)]
+            self._grow(self.leaves[:first] + new + self.leaves[last + 1 :])
             return
-        share = -(-len(pieces) // (last - first + 1))
+        share = -(-len(pieces) // n)
         for k, leaf in enumerate(range(first, last + 1)):
-            self.leaves[leaf] = pieces[k * share : (k + 1) * share]
-            self._sum(leaf, self.leaves[leaf])
+            self.leaves[leaf] = self._leaf(pieces[k * share : (k + 1) * share])
+            self._sum(leaf)
         nodes = {(self.size + leaf) // 2 for leaf in range(first, last + 1)}
         while nodes - {0}:
             for i in nodes:
@@ -177,38 +212,88 @@ class CountTree:
 EDITS = "array<struct<start: bigint, end: bigint, insert: string>>"
 
 
-def count_edited(documents: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
-    """doc_id, n_tokens of the text, n_tokens_after its edits, n_chars_after, and n_encoded, the pre-tokens encoded anew for them.
+#: A tree: leaves one after the other (text, and pre-tokens of each), characters and tokens of all pre-tokens, and the nodes' sums from the root on.
+TREE = "leaves array<string>, pieces array<int>, chars array<int>, counts array<int>, node_chars array<int>, node_counts array<int>"
+
+
+def _stored(trees: list[CountTree]) -> list[pa.Array]:
+    """The columns of ``TREE``."""
+    lists = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+    return [
+        pa.array([[leaf.text for leaf in t.leaves] for t in trees], pa.list_(pa.string())),
+        lists([[len(leaf.chars) for leaf in t.leaves] for t in trees]),
+        lists([list(chain.from_iterable([leaf.chars for leaf in t.leaves])) for t in trees]),
+        lists([list(chain.from_iterable([leaf.counts for leaf in t.leaves])) for t in trees]),
+        lists([t.chars for t in trees]),
+        lists([t.counts for t in trees]),
+    ]
 
-    ``edits`` names a column of structs (start, end, insert), applied in their order.
+
+def _loaded(tokens: Counter, rows: pa.RecordBatch) -> Iterator[CountTree]:
+    for i in range(rows.num_rows):
+        texts, pieces, chars, counts, node_chars, node_counts = (rows.column(c)[i].as_py() for c in ("leaves", "pieces", "chars", "counts", "node_chars", "node_counts"))
+        end = list(accumulate(pieces))
+        leaves = [Leaf(t, chars[e - n : e], counts[e - n : e]) for t, e, n in zip(texts, end, pieces)]
+        yield CountTree(tokens, leaves, node_chars, node_counts)
+
+
+def count_trees(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """A tree for each row: doc_id, tie (hash of the text), n_tokens, n_chars and the columns of ``TREE``; to be written and given to ``apply_edits``."""
+
+    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens = counter(path, pattern)
+        for part in slices(b, "text", 500_000):
+            trees = [CountTree.of(tokens, t or "") for t in part.column("text").to_pylist()]
+            sums = [pa.array([t.total for t in trees], pa.int64()), pa.array([t.length for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *sums, *_stored(trees)], ["doc_id", "tie", "n_tokens", "n_chars", *NAMES])
+
+    d = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    return map_arrow(d, batch, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, tie long, n_tokens long, n_chars long, {TREE}")
+
+
+NAMES = ["leaves", "pieces", "chars", "counts", "node_chars", "node_counts"]
+
+
+def apply_edits(trees: DataFrame, path: str, pattern: str, edits: str = "edits", keep_trees: bool = True) -> DataFrame:
+    """The trees after their edits: doc_id, tie (as it was), n_tokens_before, n_tokens, n_chars, n_encoded (pre-tokens encoded anew) and the tree.
+
+    ``edits`` names a column of structs (start, end, insert), applied in their order. Without ``keep_trees`` only the numbers are returned.
     """
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens = counter(path, pattern)
-        for i in range(0, b.num_rows, 200):
-            part = b.slice(i, 200)
-            rows = []
-            for text, changes in zip(part.column("text").to_pylist(), part.column("edits").to_pylist()):
-                tree = CountTree(tokens, text or "")
+        for i in range(0, b.num_rows, 50):
+            part = b.slice(i, 50)
+            done, rows = [], []
+            for tree, changes in zip(_loaded(tokens, part), part.column("edits").to_pylist()):
                 before = tree.total
                 for e in changes or ():
                     if e is not None:
                         tree.edit(e["start"] or 0, e["end"] or 0, e["insert"] or "")
                 rows.append((before, tree.total, tree.length, tree.encoded))
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "n_tokens_after", "n_chars_after", "n_encoded"])
+                if keep_trees:
+                    done.append(tree)
+            columns = [part.column("doc_id"), part.column("tie"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
+            names = ["doc_id", "tie", "n_tokens_before", "n_tokens", "n_chars", "n_encoded"]
+            yield pa.RecordBatch.from_arrays(columns + (_stored(done) if keep_trees else []), names + (NAMES if keep_trees else []))
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    d = documents.select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits"))
-    return map_arrow(d, batch, f"doc_id {kind}, n_tokens long, n_tokens_after long, n_chars_after long, n_encoded long")
+    d = trees.select("doc_id", "tie", *NAMES, F.col(edits).cast(EDITS).alias("edits"))
+    kind = trees.schema["doc_id"].dataType.simpleString()
+    return map_arrow(d, batch, f"doc_id {kind}, tie long, n_tokens_before long, n_tokens long, n_chars long, n_encoded long" + f", {TREE}" * keep_trees)
 
 
-def sample_edits(documents: DataFrame, per_document: int = 3) -> DataFrame:
-    """``documents`` with ``per_document`` edits each that follow from a hash of doc_id: a replacement, an insertion and a deletion in turn."""
-    n = F.length(F.coalesce("text", F.lit("")))
+def sample_edits(trees: DataFrame, per_document: int = 3) -> DataFrame:
+    """``trees`` with ``per_document`` edits each that follow from a hash of doc_id: a replacement, an insertion and a deletion in turn."""
     each = []
     for k in range(per_document):
-        at = F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1)
+        at = F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col("n_chars") + 1)
         gone = F.lit((8, 0, 40)[k % 3])
-        each.append(F.struct(at.cast("long").alias("start"), (at + gone).cast("long").alias("end"), F.lit(("a new word", " inserted, it's here ", "")[k % 3]).alias("insert")))
-    return documents.withColumn("edits", F.array(*each))
+        each.append(F.struct(at.alias("start"), (at + gone).alias("end"), F.lit(("a new word", " inserted, it's here ", "")[k % 3]).alias("insert")))
+    return trees.withColumn("edits", F.array(*each))
+
+
+def count_sampled_edits(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, n_tokens_after, n_chars_after and n_encoded of every row: trees are written, then read and edited."""
+    trees = materialize(count_trees(documents, path, pattern), "count-trees")
+    done = apply_edits(sample_edits(trees), path, pattern, keep_trees=False)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("n_chars").alias("n_chars_after"), "n_encoded")
