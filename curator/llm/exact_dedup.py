@@ -47,7 +47,7 @@ def collided(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """The hashes ``h`` whose rows do not all have the same normalised bytes."""
     shared = keys.groupBy("h").count().where("count > 1").select(F.col("h").alias("member"))
     texts = documents.select(normalized().alias("norm")).withColumn("h", F.unhex(F.md5("norm")))
-    texts = among(texts, F.col("h"), shared).where("maybe_member").select("h", "norm")
+    texts = among(texts, F.col("h"), shared, keys.count() // 2).where("maybe_member").select("h", "norm")
     return texts.groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").count().where("count > 1").select("h")
 
 

@@ -4,11 +4,12 @@ Method. Nothing is sampled away; each step only discards pairs that cannot be si
 1. Of a set of n shingles, in any order that all sets share, a similar set has one of the first ``n - ceil(least n) + 1``.
    Order: shingles that are frequent in a part of the documents come last (a bit map of fixed size), then by hash. A poor
    estimate of what is frequent costs time and no pairs. These first shingles are the bucket keys.
-2. Sizes of similar sets differ by a factor of ``least`` at most. A signature of ``BITS`` parities of hashed shingles cannot differ in more bits
-   than the sets differ in shingles, which is at most ``(1 - least) / (1 + least)`` of both sizes together.
-3. Survivors are linked to clusters; a cluster's documents meet in one task, each once, and are verified by the exact similarity.
+2. Sizes of similar sets differ by a factor of ``least`` at most. A signature of parities of hashed shingles, at least as many as the set has,
+   cannot differ in more bits than the sets differ in shingles, which is at most ``(1 - least) / (1 + least)`` of both sizes together.
+   Signatures of two lengths are compared at the shorter one, to which the longer is folded.
+3. Survivors are linked to clusters, and a cluster's documents are verified by the exact similarity. A cluster with more than ``CLUSTER``
+   shingles is dealt to pairs of chunks of it, as are buckets with more than ``TILE`` documents, so that no task holds more than two chunks.
 Within buckets and clusters only a spanning forest of links is sought, so large groups do not become all of their pairs.
-A bucket with more than ``TILE`` documents is dealt to pairs of chunks of it.
 
 Cases. Texts of at most ``size`` words are one shingle; null texts and texts without words are equal to each other. Groups are connected
 components, so two of a group's documents may be less alike than ``least``.
@@ -30,7 +31,9 @@ from curator.llm.simhash import TILE, forest, keep_smallest, shingle_digests
 from curator.llm.spread import among, map_arrow
 from curator.scratch import materialize
 
-SIZE, LEAST, SEED, BITS = 5, 0.8, 42, 512
+SIZE, LEAST, SEED = 5, 0.8, 42
+#: Bits of a signature, and shingles of a cluster, or of a chunk of it, that are verified in one task.
+FEWEST_BITS, MOST_BITS, CLUSTER = 512, 1 << 16, 1 << 19
 #: One in PART documents tells which shingles are frequent: those in OFTEN of them. SLOTS is the bit map's size, as a power of two.
 PART, OFTEN, SLOTS = 16, 3, 24
 EPS = 1e-9
@@ -43,9 +46,38 @@ def shingles(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """BITS parities of the hashes, as words of 64 bits."""
-    odd = np.bincount((mix(s) % U64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(U64)
+    """Parities of the hashes, as words of 64 bits: at least as many as hashes, a power of two."""
+    bits = min(max(FEWEST_BITS, 1 << (len(s) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((mix(s) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+class Signatures:
+    """Parities of several sets, compared at the shorter of two lengths."""
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        self.length = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.words = np.concatenate([*parts, np.zeros(0, U64)])
+
+    def at(self, rows: np.ndarray, length: int) -> np.ndarray:
+        """The signatures of ``rows``, folded to ``length`` words."""
+        out = np.empty((len(rows), length), U64)
+        for own in np.unique(self.length[rows]).tolist():
+            r = np.flatnonzero(self.length[rows] == own)
+            folds = self.words[self.first[rows[r]][:, None] + np.arange(own)].reshape(len(r), own // length, length)
+            out[r] = np.bitwise_xor.reduce(folds, axis=1)
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the signatures of ``i`` and ``j`` differ, at least."""
+        out = np.zeros(len(i), np.int64)
+        shorter = np.minimum(self.length[i], self.length[j])
+        for length in np.unique(shorter).tolist():
+            k = np.flatnonzero(shorter == length)
+            for part in np.array_split(k, -(-len(k) * length // (1 << 20))):  # 8 MB at a time
+                out[part] = np.bitwise_count(self.at(i[part], length) ^ self.at(j[part], length)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def prefix(s: np.ndarray, least: float, frequent: np.ndarray) -> np.ndarray:
@@ -100,8 +132,8 @@ def _numpy(t: pa.Table, column: str) -> np.ndarray:
     return t.column(column).to_numpy()
 
 
-def candidates(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Links a < b between nodes that connect all pairs that may be similar. texts: node, text."""
+def candidates(texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links a < b between nodes that connect all pairs that may be similar, and nodes with their numbers of shingles. texts: node, text."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def sign(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -130,29 +162,39 @@ def candidates(texts: DataFrame, size: int, least: float) -> DataFrame:
 
     def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, node, n = _numpy(t, "k"), _numpy(t, "node"), _numpy(t, "n").astype(np.int64)
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), U64).reshape(len(n), -1)
+        sig = Signatures([np.frombuffer(x, U64) for x in t.column("sig").to_pylist()])
         a, b = forest(k, lambda i, j: _possible(i, j, n, sig, least))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
-    return _grouped(rows, "k", link, "a long, b long").where("a < b").distinct()
+    return _grouped(rows, "k", link, "a long, b long").where("a < b").distinct(), signed.select("node", "n")
 
 
-def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: Signatures, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs that sizes and parities leave."""
     keep = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - EPS
     i, j = i[keep], j[keep]
-    apart = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
-    keep = apart <= (n[i] + n[j]) * (1 - least) / (1 + least) + EPS
+    keep = sig.apart(i, j) <= (n[i] + n[j]) * (1 - least) / (1 + least) + EPS
     return i[keep], j[keep]
 
 
+def dealt(clusters: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """node and tile: rows of ``clusters`` (node, root), with a tile for each pair of chunks of a cluster with over ``most`` shingles."""
+    sized = clusters.join(sizes.select(F.col("node").alias("of"), "n"), F.col("node") == F.col("of"))
+    large = sized.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    large = materialize(large.select(F.col("root").alias("hot"), F.ceil(F.col("n") / most).cast("int").alias("chunks")), "large-clusters")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.xxhash64("root", F.least(own, o), F.greatest(own, o)))
+    marked = clusters.join(large, F.col("root") == F.col("hot"), "left")
+    return marked.select("node", F.explode(F.when(F.col("chunks").isNull(), F.array("root")).otherwise(tiles)).alias("tile"))
+
+
 def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """Links a < b that connect all similar pairs within a cluster. texts: root, node, text."""
+    """Links a < b that connect all similar pairs within a tile. texts: tile, node, text."""
 
     def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x, size) for x in t.column("text").to_pylist()]
-        n, sig = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets])
+        n, sig = np.array([len(s) for s in sets]), Signatures([parities(s) for s in sets])
         number = np.unique(np.concatenate(sets), return_inverse=True)[1]  # shingles as small numbers, one set after the other
         first, mark = np.cumsum(n) - n, np.zeros(n.sum(), bool)
 
@@ -170,11 +212,11 @@ def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
             return i[keep], j[keep]
 
         node = _numpy(t, "node")
-        a, b = forest(_numpy(t, "root"), near)
+        a, b = forest(_numpy(t, "tile"), near)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
-    return _grouped(texts, "root", link, "a long, b long").where("a < b").distinct()
+    return _grouped(texts, "tile", link, "a long, b long").where("a < b").distinct()
 
 
 def similar_groups(documents: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -182,12 +224,17 @@ def similar_groups(documents: DataFrame, size: int = SIZE, least: float = LEAST)
     if not 0 < least <= 1:
         raise ValueError(f"similarity {least} is not in (0, 1]")
     rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    texts = rows.select(F.col("tie").alias("node"), "text")
-    clusters = materialize(components(candidates(texts, size, least)), "clusters")
-    members = among(texts, F.col("node"), clusters.select(F.col("node").alias("member"))).where("maybe_member").select(F.col("node").alias("of"), "text")
-    members = members.join(clusters, F.col("of") == F.col("node")).dropDuplicates(["node"])  # equal texts are one node
-    roots = components(verified(members.select("root", "node", "text"), size, least))
-    ids = rows.select("doc_id", "tie").join(materialize(roots, "similar"), F.col("tie") == F.col("node"), "left").select("doc_id", "tie", F.coalesce("root", "tie").alias("root"))
+    keys = materialize(rows.select("doc_id", "tie"), "similar-keys")
+    marked = among(rows.select(F.col("tie").alias("node"), "text"), F.col("node"), keys.groupBy("tie").count().where("count > 1").select(F.col("tie").alias("member")), keys.count() // 2)
+    # equal texts are one node; only those that may have an equal are moved
+    texts = marked.where("not maybe_member").select("node", "text").unionByName(marked.where("maybe_member").select("node", "text").dropDuplicates(["node"]))
+    possible, sizes = candidates(texts, size, least)
+    clusters = materialize(components(possible), "clusters")
+    tiles = dealt(clusters, sizes, CLUSTER).select(F.col("node").alias("dealt"), "tile")
+    members = among(texts, F.col("node"), clusters.select(F.col("node").alias("member")), clusters.count()).where("maybe_member").select(F.col("node").alias("of"), "text")
+    members = members.join(tiles, F.col("of") == F.col("dealt"))
+    roots = components(verified(members.select("tile", F.col("of").alias("node"), "text"), size, least))
+    ids = keys.join(materialize(roots, "similar"), F.col("tie") == F.col("node"), "left").select("doc_id", "tie", F.coalesce("root", "tie").alias("root"))
     ids = materialize(ids, "grouped")
     least_id = materialize(ids.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id")), "least")
     return ids.join(least_id, F.col("root") == F.col("of")).select("doc_id", "tie", "component_id")

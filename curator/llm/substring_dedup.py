@@ -64,23 +64,28 @@ NAMES = Names()
 
 
 class Text:
-    """The words of a slice of rows: their names, each row's first word (one more than rows), and digests of ranges of them."""
+    """The words of a slice of rows: each row's first word (one more than rows), names, and digests of ranges of them."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
-        start, end, self.first = words(raw, off)
-        self.data, self.start, self.end = raw.tobytes(), start.tolist(), end.tolist()
-        rows = [self.data[a:b] for a, b in zip(off.tolist(), off[1:].tolist())]
-        self.name = np.fromiter(map(NAMES.__getitem__, chain.from_iterable(map(bytes.split, rows))), U64, len(start))
-        # after how many words something else than one blank follows
-        plain = (start[1:] - end[:-1] == 1) & (raw[np.minimum(end[:-1], len(raw) - 1)] == 0x20) if len(start) else np.zeros(0, bool)
-        self.broken = np.concatenate([[0], np.cumsum(~plain)]).tolist()
-
-    def digest(self, at: int, n: int, more: bytes = b"") -> bytes:
-        """Of ``n`` words from word ``at`` on, joined by one space, and of ``more``."""
-        part = self.data[self.start[at] : self.end[at + n - 1]]
-        if self.broken[at + n - 1] != self.broken[at]:
-            part = b" ".join(part.split())
-        return hashlib.blake2b(part, digest_size=16, key=more).digest()
+        self.start, self.end, self.first = words(raw, off)
+        self.data, self.off = raw.tobytes(), off
+        # how many words are followed by something else than one blank, up to each
+        plain = (self.start[1:] - self.end[:-1] == 1) & (raw[np.minimum(self.end[:-1], len(raw) - 1)] == 0x20) if len(self.start) else np.zeros(0, bool)
+        self.broken = np.concatenate([[0], np.cumsum(~plain)])
+
+    def names(self) -> np.ndarray:
+        rows = [self.data[a:b].split() for a, b in zip(self.off.tolist(), self.off[1:].tolist())]
+        return np.fromiter(map(NAMES.__getitem__, chain.from_iterable(rows)), U64, len(self.start))
+
+    def digests(self, at: np.ndarray, n: np.ndarray | int, keys: list[bytes] | None = None) -> list[bytes]:
+        """Of ``n`` words from each of ``at`` on, joined by one space, under ``keys`` where given."""
+        data, digest = self.data, hashlib.blake2b
+        parts = [data[a:e] for a, e in zip(self.start[at].tolist(), self.end[at + n - 1].tolist())]
+        for i in np.flatnonzero(self.broken[at + n - 1] != self.broken[at]).tolist():
+            parts[i] = b" ".join(parts[i].split())
+        if keys is None:
+            return [digest(p, digest_size=16).digest() for p in parts]
+        return [digest(p, digest_size=16, key=k).digest() for p, k in zip(parts, keys)]
 
 
 @dataclass
@@ -203,7 +208,7 @@ def anchors(documents: DataFrame, size: int, rounds: int) -> DataFrame:
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, t in sliced(b):
-            w = windows(t.name, t.first, size, rounds)
+            w = windows(t.names(), t.first, size, rounds)
             if not len(w.word):
                 continue
             new = np.append(True, (w.group[1:] != w.group[:-1]) | (w.row[1:] != w.row[:-1]))
@@ -211,7 +216,7 @@ def anchors(documents: DataFrame, size: int, rounds: int) -> DataFrame:
             at = np.flatnonzero(new | second)
             n = np.diff(np.append(at, len(new)))
             covered = np.where(w.alike[at], size, n + size - 1)
-            whole = [t.digest(x, k, b"%d" % o) for x, k, o in zip(w.word[at].tolist(), covered.tolist(), w.offset[at].tolist())]
+            whole = t.digests(w.word[at], covered, [b"%d" % o for o in w.offset[at].tolist()])
             take = pa.array(w.row[at])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w.name[at].view(np.int64)), pa.array(whole, pa.binary()), part.column("doc_id").take(take), part.column("tie").take(take), pa.array((w.word[at] - t.first[w.row[at]]).astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -238,7 +243,7 @@ def window_rows(texts: DataFrame, size: int, rounds: int) -> DataFrame:
             for i in range(0, len(q), 100_000):
                 j = slice(i, i + 100_000)
                 take = pa.array(row[j])
-                digest = [t.digest(x, size) for x in (t.first[row[j]] + q[j]).tolist()]
+                digest = t.digests(t.first[row[j]] + q[j], size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name[which[j]]), pa.array(digest, pa.binary()), part.column("doc_id").take(take), part.column("tie").take(take), pa.array(q[j].astype(np.int32)), pa.array(times[which[j]])],
                     ["name", "hash", "doc_id", "tie", "p", "times"],
@@ -254,7 +259,7 @@ def same_row(a: DataFrame, b: DataFrame):
 def with_lists(documents: DataFrame, lists: DataFrame, value) -> tuple[DataFrame, DataFrame]:
     """Rows of ``documents`` with the list ``at`` of their ``value``s, and the rows that surely have none."""
     by_row = lists.distinct().groupBy("doc_id", "tie").agg(F.collect_list(value).alias("at")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "at")
-    d = among(documents, F.xxhash64("doc_id", "tie"), lists.select(F.xxhash64("doc_id", "tie").alias("member")))
+    d = among(documents, F.xxhash64("doc_id", "tie"), lists.select(F.xxhash64("doc_id", "tie").alias("member")), lists.count())
     some, none = d.where("maybe_member").drop("maybe_member"), d.where("not maybe_member").drop("maybe_member")
     return some.join(by_row, same_row(some, by_row), "left").drop("_id", "_tie"), none
 

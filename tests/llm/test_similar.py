@@ -62,6 +62,7 @@ def test_groups_match_all_pairs(spark, monkeypatch):
     assert got(m.similar_groups(docs(spark, rows()), 3, 0.6)) == brute(rows(), 3, 0.6)
     monkeypatch.setattr(m, "TILE", 20)  # buckets over the limit are dealt to tiles
     monkeypatch.setattr(m, "PART", 1)
+    monkeypatch.setattr(m, "CLUSTER", 1000)  # and clusters
     assert got(m.similar_groups(docs(spark, rows()))) == want
 
 
@@ -77,10 +78,23 @@ def test_one_of_each_group_stays(spark):
 
 def test_parities_never_exceed_the_difference():
     r = np.random.default_rng(1)
+    sets = []
     for k in range(40):
-        s = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
-        a, b = s[: 300 + k], s[k:]
-        assert np.bitwise_count(m.parities(a) ^ m.parities(b)).sum() <= len(np.setxor1d(a, b))
+        s = np.unique(r.integers(0, 2**63, (400, 900, 4000)[k % 3]).astype(np.uint64))
+        sets += [s[: int(len(s) * (0.5 + k / 80))], s[k:]]
+    sig = m.Signatures([m.parities(s) for s in sets])
+    i, j = (x.ravel() for x in np.indices((80, 80)))
+    apart = sig.apart(i, j)
+    assert len(np.unique(sig.length)) > 3
+    for a, b, n in zip(i, j, apart):
+        assert n <= len(np.setxor1d(sets[a], sets[b])) and (a != b or not n)
+    assert all(apart[80 * k + k + 1] > 0.8 * len(np.setxor1d(sets[k], sets[k + 1])) for k in range(70, 80, 2))  # and are close to a small one
+
+
+def test_clashing_columns(spark):
+    d = docs(spark, rows()).selectExpr("*", *[f"1 as {c}" for c in ("tie", "node", "root", "component_id", "n", "sig", "keys", "k", "of", "tile", "hot")])
+    assert got(m.similar_groups(d)) == brute(rows())
+    assert m.keep_one_similar(d).columns == d.columns
 
 
 def test_empty_table(spark):

@@ -1,18 +1,17 @@
 from pyspark.sql import functions as F
 
-from curator.llm.spread import among, drop_rows
+from curator.llm.spread import among, drop_rows, hash_bound
 from tests.llm.common import docs
 
 
 def test_members_are_never_missed(spark):
     d = spark.range(5000).withColumnRenamed("id", "k")
     members = spark.range(0, 5000, 7).withColumnRenamed("id", "member")
-    for bits in (15, 16, 24):
-        got = among(d, F.col("k"), members, bits).collect()
+    for at_most in (None, 1, 10**6):
+        got = among(d, F.col("k"), members, at_most).collect()
         assert len(got) == 5000
         assert all(r.maybe_member for r in got if r.k % 7 == 0)
-        if bits == 24:
-            assert sum(r.maybe_member for r in got) < 800
+        assert sum(r.maybe_member for r in got) < 800
     assert among(d, F.col("k"), members.where("false")).where("maybe_member").count() == 0
 
 
@@ -26,3 +25,16 @@ def test_rows_are_dropped_by_id_and_text(spark):
     assert kept.columns == d.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "b"), (2, "c"), (3, "d")]
     assert kept.select("_row").first()[0] == 4
+
+
+def test_hash_bound():
+    assert hash_bound(0, 5) == hash_bound(20, 5) == (1 << 63) - 1
+    share = (hash_bound(4000, 100) + (1 << 63)) / (1 << 64)
+    assert abs(share - 0.1) < 1e-9 and hash_bound(10**12, 100) > -(1 << 63)
+
+
+def test_bounded_sample_is_the_least_hashes(spark):
+    d = spark.range(3000).select(F.xxhash64("id").alias("r"))
+    got = sorted(r.r for r in d.where(F.col("r") <= hash_bound(3000, 50)).collect())
+    assert 150 < len(got) < 260
+    assert got[:50] == [r.r for r in d.orderBy("r").limit(50).collect()]
