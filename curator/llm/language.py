@@ -4,14 +4,14 @@ One Bloom filter a language, stored slot by slot: a slot holds one bit for each
 n-gram's probes gives the bit mask of all languages that contain it in one look. A text's hits are counted for each
 language, corrected by that filter's false-positive rate, and the largest corrected share decides.
 
-Learning takes a bounded sample: of each language the ``per_language`` rows with the smallest hash of text and id.
+Learning takes a bounded sample: of each language the ``per_language`` rows with the smallest hash of doc_id, picked without reading texts.
 Their n-grams are counted on the executors, and the ``grams`` most frequent of each language fill its filter;
 that table is all the driver sees. Slots are as many mask words wide as the languages need. The model is bounded: the ``LANGUAGES``
-languages with the most sampled rows are learned, and all filters together hold at most ``ALL_GRAMS`` n-grams.
+languages with the most rows are learned, and all filters together hold at most ``ALL_GRAMS`` n-grams.
 
 Cases. Null texts and texts without letters are ``und`` with score 0. Equal shares go to the language first in the alphabet.
 Rows without lang are predicted like others but teach nothing. With nothing to learn from, every text is ``und``.
-Repeated rows are predicted as often and teach once.
+Repeated rows are predicted as often; rows of one doc_id and language teach once, by the least of their texts. Null texts take a place in the sample.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from curator.llm.arrow import U64, WORD_BASE, mix, slices
 from curator.llm.chars import points, tables
-from curator.llm.spread import drop_rows, map_arrow
+from curator.llm.spread import drop_rows, hash_bound, map_arrow
 
 PER_LANGUAGE, GRAMS, N, SLOT_BITS, PROBES = 400, 20_000, 4, 18, 3
 #: Most languages learned, and most n-grams of all of them together.
@@ -136,15 +136,17 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = GRAMS, languages: int = LANGUAGES) -> Filters:
     """Filters from the rows (text, lang) of ``labelled``; doc_id only orders the sample."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "doc_id").alias("r"))
-    ranked = rows.select("lang", "r").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("r")))
-    cut = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("r").alias("most"), F.count("*").alias("n"))
-    cut = cut.orderBy(F.desc("n"), "lang").limit(languages).select("lang", "most").collect()
+    rows = labelled.where("lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("r"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = labelled.sparkSession.createDataFrame([(c["lang"], hash_bound(c["count"], per_language)) for c in counts], "taught string, most long")
+    near = rows.join(F.broadcast(sizes), (F.col("lang") == F.col("taught")) & (F.col("r") <= F.col("most"))).select("lang", "r")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("r")))
+    cut = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("r").alias("most")).collect()
     if not cut:
         return Filters.of({"": np.zeros(0, U64)})
     bounds = F.broadcast(labelled.sparkSession.createDataFrame([tuple(c) for c in cut], "taught string, most long"))
-    sample = rows.join(bounds, (F.col("lang") == F.col("taught")) & (F.col("r") <= F.col("most")))
-    sample = sample.groupBy("lang", "r").agg(F.first("text").alias("text")).select("lang", "text")
+    sample = rows.where("text is not null").join(bounds, (F.col("lang") == F.col("taught")) & (F.col("r") <= F.col("most")))
+    sample = sample.groupBy("lang", "r").agg(F.min("text").alias("text")).select("lang", "text")
     counted = gram_counts(sample).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     each = min(most, max(ALL_GRAMS // len(cut), 1))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= each)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curator.llm.arrow import U64, hashes, runs_of, slices, utf8
-from curator.llm.spread import map_arrow
+from curator.llm.spread import hash_bound, map_arrow
 from curator.scratch import materialize
 
 BITS, POSITIVES, NEGATIVES, LEAST_DOCUMENTS, LIFT = 20, 2500, 5000, 4, 3.0
@@ -95,7 +95,10 @@ def fit(feature: np.ndarray, sentence: np.ndarray, document: np.ndarray, label:
 def learn(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[np.ndarray, float]:
     """Weights from the rows of ``documents`` (doc_id, text) that ``labels`` (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic"))
-    ranked = marks.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    marks = materialize(marks.withColumn("r", F.xxhash64("doc_id")), "toxicity-labels")
+    of = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}  # two rows at most
+    bound = F.when(F.col("toxic") == 1, hash_bound(of.get(1, 0), positives)).otherwise(hash_bound(of.get(0, 0), negatives))
+    ranked = marks.where(F.col("r") <= bound).withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("r", "doc_id")))
     sample = ranked.where(F.col("rank") <= F.when(F.col("toxic") == 1, positives).otherwise(negatives)).select(F.col("doc_id").alias("_id"), "toxic")
     d = documents.select("doc_id", "text").where("text is not null")
     d = d.join(F.broadcast(sample), d["doc_id"] == sample["_id"]).groupBy("doc_id", "text", "toxic").agg(F.lit(1).alias("one"))

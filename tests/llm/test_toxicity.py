@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 
 from curator.llm import toxicity as m
@@ -51,3 +54,38 @@ def test_without_labels(spark):
     none = m.detect(docs(spark, rows), spark.createDataFrame([], LABELS)).collect()
     assert len(none) == 20 and {r.score for r in none} == {0.0} and {r.predicted for r in none} == {0}
     assert m.detect(docs(spark, []), spark.createDataFrame([(1, 1, 1)], LABELS)).collect() == []
+
+
+def test_scores_match_brute_force(spark):
+    rows, marks = corpus(200)
+    rows += [(500, "É vile! Rotten\nvile... grim"), (501, "vilest"), (502, None), (503, "a\n\n."), (504, "vilenesses rotten?! x1vile2rotten")]
+    w, b = m.learn(docs(spark, rows[:200]), spark.createDataFrame(marks, LABELS), positives=30, negatives=60)
+    name = lambda x: int(m.hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+    got = {r.doc_id: r for r in m.score(docs(spark, rows), w, b).collect()}
+    for i, text in rows:
+        clear = 1.0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            feats = set()
+            for word in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda x: x[0].lower(), sentence)):
+                feats |= {name(word)} | {name(word[:k]) ^ k for k in m.BEGINNINGS if len(word) > k}
+            slots = {f >> 64 - m.BITS for f in feats}
+            if feats:
+                clear *= 1 - 1 / (1 + math.exp(-(b + sum(float(w[s]) for s in slots))))
+        assert abs(got[i].score - (1 - clear)) < 1e-6, i
+
+
+def test_likelihood_falls_and_penalty_clears_weights():
+    r = np.random.default_rng(1)
+    feature, sentence = r.integers(0, 50, 600), np.repeat(np.arange(200), 3)
+    document, label = np.repeat(np.arange(50), 4), np.array([1, 0] * 25)
+    feature[::12][: 25] = 60  # one sentence of some documents
+    label[:] = [int((feature[12 * i : 12 * i + 12] == 60).any()) for i in range(50)]
+    w, b = m.fit(feature, sentence, document, label)
+    assert w[60] > 5 and (w[:50] > w[60] / 2).sum() == 0 and (w == 0).sum() > (1 << m.BITS) - 60
+
+
+def test_clashing_columns(spark):
+    rows, marks = corpus(60)
+    d = docs(spark, rows).selectExpr("*", *[f"1 as {c}" for c in ("toxic", "score", "_id", "one", "rank", "r", "offending")])
+    labels = spark.createDataFrame(marks, LABELS).selectExpr("*", "'x' as text", "1 as rank", "2 as r")
+    assert m.detect(d, labels).count() == 60
