@@ -7,8 +7,8 @@ interval of paths. Within a host key rules and questions are sorted by path; a r
 is the innermost rule opened so far, which carries the stack of rules it is nested in. The rules of that stack whose
 prefix the path has are those whose interval is still active; the longest of all a url's questions wins.
 
-Hot hosts are salted: the questions of a host key are dealt to ``salts`` sorts, with a copy of its rules in each. Only
-host keys that have rules are sorted at all. The longest rule is the one with the most characters of host and
+Hot hosts are salted by their measured size: the questions of a host key are dealt to sorts of about ``SORT`` questions, with a copy of its
+rules in each. Only host keys that have rules are sorted at all. The longest rule is the one with the most characters of host and
 path together; of equals the one with the longest host, then blocking before allowing.
 
 Cases. The host follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path follows up to ``?``,
@@ -24,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 32
+from curator.scratch import materialize
+
+#: Questions of a host key that are sorted together.
+SORT = 1_000_000
 
 
 def lower_ascii(c):
@@ -46,7 +49,7 @@ def reversed_host(host):
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def nested(rules: DataFrame, salts: int) -> DataFrame:
+def nested(rules: DataFrame) -> DataFrame:
     """Rules by host key with their stacks: the rules of the same host whose paths are prefixes of theirs."""
     r = rules.select(F.coalesce(lower_ascii(F.col("host")), F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict"))
     r = r.where("host != ''").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' is after 'allow'
@@ -55,11 +58,10 @@ def nested(rules: DataFrame, salts: int) -> DataFrame:
     # a rule's own prefixes are asked for by equality, so no rule is compared with all others of its host
     starts = r.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))))
     found = starts.join(outer, (starts["key"] == outer["okey"]) & (starts["start"] == outer["outer.path"]))
-    stack = found.groupBy("key", "path").agg(F.array_sort(F.collect_list("outer")).alias("stack"))
-    return stack.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return found.groupBy("key", "path").agg(F.array_sort(F.collect_list("outer")).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", sort: int = SORT) -> DataFrame:
     """page_id, host, path, rule (host and path prefix of the longest that fits, else null) and verdict."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("times"))
@@ -67,9 +69,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int
     asked = rows.withColumn("key", reversed_host(F.col("host"))).where("host != ''")
     asked = asked.withColumn("upto", F.explode(F.sequence(F.lit(1), F.size(labels))))
     asked = asked.select("page_id", "host", "path", F.array_join(F.slice(labels, F.lit(1), F.col("upto")), ".").alias("key"))
-    ruled = nested(rules, salts)
-    hosts = ruled.select(F.col("key").alias("rkey")).distinct()
-    asked = asked.join(hosts, asked["key"] == hosts["rkey"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("page_id", "path", "host"), F.lit(salts)).cast("int"))
+    ruled = nested(rules)
+    sizes = asked.groupBy("key").agg(F.ceil(F.count("*") / sort).alias("salts"))
+    hosts = materialize(ruled.select("key").distinct().join(sizes, "key").select(F.col("key").alias("rkey"), "salts"), "ruled-hosts")
+    asked = asked.join(hosts, asked["key"] == hosts["rkey"]).withColumn("salt", F.pmod(F.xxhash64("page_id", "path", "host"), F.col("salts"))).drop("rkey", "salts")
+    ruled = ruled.join(hosts, ruled["key"] == hosts["rkey"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("rkey", "salts")
     events = ruled.select("key", "salt", "path", F.lit(0).alias("kind"), "stack", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"))
     events = events.unionByName(asked.withColumns({"kind": F.lit(1), "stack": F.lit(None).cast(ruled.schema["stack"].dataType)}))
     sweep = Window.partitionBy("key", "salt").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
