@@ -28,13 +28,24 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode normal form C, which Spark has no function for."""
-    return _nfc(c)
+    """Unicode normal form C, which Spark has no function for.
+
+    Texts without characters from U+0300 on are in it already and do not go to Python.
+    """
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x{0}-\x{2FF}]"), c)), c)
+
+
+WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 def words(text: Column) -> Column:
     """Maximal runs of letters, marks and digits of the lower-cased NFC text."""
-    return F.regexp_extract_all(F.lower(nfc(text)), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+    return F.regexp_extract_all(F.lower(nfc(text)), F.lit(WORD), 0)
+
+
+def n_words(text: Column) -> Column:
+    """The number of ``words``: neither lower case nor NFC changes what is a letter, mark or digit, so the text itself is counted."""
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def redact(text: Column) -> tuple[Column, Column, Column]:

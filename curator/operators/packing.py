@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from curator.operators.sized import running_sum
@@ -30,25 +29,73 @@ class PackingError(Exception):
     """A document is longer than the rows it must fit."""
 
 
-def next_fit(docs: DataFrame, keys: list[str], order: str, length: int) -> DataFrame:
+def _row_after_row(lengths: list[int], row: int, free: int, length: int) -> tuple[list[int], int, int]:
+    """Rows of documents from a row that has ``free`` tokens left, and the last row with what is left of it."""
+    out = []
+    for n in lengths:
+        if n > free:
+            row, free = row + 1, length
+        free -= n
+        out.append(row)
+    return out, row, free
+
+
+def _transitions(lengths: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every number of free tokens at the start: rows opened and tokens free at the end."""
+    free, opened, of = np.arange(length + 1), np.zeros(length + 1, np.int64), np.arange(length + 1)
+    for i, n in enumerate(lengths):
+        over = n > free
+        opened = opened + over
+        free = np.where(over, length, free) - n
+        if i % 16 == 15 and len(free) > 1:  # starts soon agree, but for the rows opened
+            pairs, back = np.unique(np.stack([opened, free]), axis=1, return_inverse=True)
+            (opened, free), of = pairs, back.ravel()[of]
+    return opened[of], free[of]
+
+
+def next_fit(docs: DataFrame, keys: list[str], order: str, length: int, bucket: Column | None = None) -> DataFrame:
     """``docs`` with ``row``: whole documents in stream order, a row is closed at the first that does not fit.
 
-    Sequential within a stream (keys), which therefore is one task; streams run side by side.
+    Documents longer than a row are in none: their row is null. With ``bucket``, which must not decrease along ``order``, a stream is
+    not one task's work: each bucket is first run from every state a row can be in, these few numbers are chained along the
+    stream, and each bucket is then run from the state it really starts in.
     """
+    fits = docs.where(F.col("n_tokens") <= length)
+    schema = StructType([*docs.schema.fields, StructField("row", LongType())])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        row, free, out = 0, length, []
-        for n in rows["n_tokens"].tolist():
-            if n > length:
-                raise PackingError(f"{n} tokens in rows of {length}")
-            if n > free:
-                row, free = row + 1, length
-            free -= n
-            out.append(row)
-        return rows.assign(row=out)
-
-    return docs.groupBy(*keys).applyInPandas(fold, StructType([*docs.schema.fields, StructField("row", LongType())]))
+        return rows.assign(row=_row_after_row(rows["n_tokens"].tolist(), 0, length, length)[0])
+
+    if bucket is None:
+        packed = fits.groupBy(*keys).applyInPandas(whole, schema)
+    else:
+        dealt = fits.withColumn("_bucket", bucket)
+        head = StructType([*(dealt.schema[k] for k in [*keys, "_bucket"])])
+
+        def tabulate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            opened, free = _transitions(rows.sort_values(order)["n_tokens"].tolist(), length)
+            return pd.DataFrame([[*key, opened.tolist(), free.tolist()]], columns=[*keys, "_bucket", "opened", "free"])
+
+        def chained(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("_bucket")
+            row, free, rows_, frees = 0, length, [], []
+            for opened, left in zip(rows["opened"], rows["free"]):
+                rows_.append(row)
+                frees.append(free)
+                row, free = row + int(opened[free]), int(left[free])
+            return rows[[*keys, "_bucket"]].assign(_row=rows_, _free=frees)
+
+        def resume(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(order)
+            out, *_ = _row_after_row(rows["n_tokens"].tolist(), int(rows["_row"].iloc[0]), int(rows["_free"].iloc[0]), length)
+            return rows.drop(columns=["_bucket", "_row", "_free"]).assign(row=out)
+
+        table = StructType([*head.fields, StructField("opened", ArrayType(LongType())), StructField("free", ArrayType(LongType()))])
+        starts = dealt.groupBy(*keys, "_bucket").applyInPandas(tabulate, table)
+        starts = starts.groupBy(*keys).applyInPandas(chained, StructType([*head.fields, StructField("_row", LongType()), StructField("_free", LongType())]))
+        packed = dealt.join(starts, [*keys, "_bucket"]).select(*docs.columns, "_bucket", "_row", "_free").groupBy(*keys, "_bucket").applyInPandas(resume, schema)
+    return packed.unionByName(docs.where(F.col("n_tokens") > length).withColumn("row", F.lit(None).cast("long")))
 
 
 def look_ahead_rows(lengths: list[int], length: int, window: int) -> list[list[int]]:
@@ -72,7 +119,7 @@ def look_ahead_rows(lengths: list[int], length: int, window: int) -> list[list[i
 
 
 def best_fit(docs: DataFrame, keys: list[str], order: str, length: int, window: int) -> DataFrame:
-    """``docs`` with ``row`` and ``ord`` of the look-ahead packer, one pass over each stream."""
+    """``docs`` with ``row`` and ``ord`` of the look-ahead packer, one pass over each stream. Documents longer than a row are in none: both are null."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order).reset_index(drop=True)
@@ -82,41 +129,51 @@ def best_fit(docs: DataFrame, keys: list[str], order: str, length: int, window:
                 row[d], place[d] = r, k
         return part.assign(row=row, ord=place)
 
-    return docs.groupBy(*keys).applyInPandas(fold, StructType([*docs.schema.fields, StructField("row", LongType()), StructField("ord", IntegerType())]))
+    packed = docs.where(F.col("n_tokens") <= length).groupBy(*keys).applyInPandas(fold, StructType([*docs.schema.fields, StructField("row", LongType()), StructField("ord", IntegerType())]))
+    return packed.unionByName(docs.where(F.col("n_tokens") > length).withColumns({"row": F.lit(None).cast("long"), "ord": F.lit(None).cast("int")}))
+
 
+def best_fit_decreasing(counts: dict[int, int], length: int) -> int:
+    """Rows that best-fit decreasing needs for ``counts`` documents of each length up to ``length``.
 
-def best_fit_decreasing(lengths: list[int], length: int) -> int:
-    """Rows that best-fit decreasing needs; documents over ``length`` take whole rows of their own."""
-    rows = sum(-(-n // length) for n in lengths if n > length)
-    free: list[int] = []
-    for n in sorted((n for n in lengths if n <= length), reverse=True):
-        i = bisect.bisect_left(free, n)
-        if i < len(free):
-            left = free.pop(i) - n
-        else:
-            rows, left = rows + 1, length - n
-        bisect.insort(free, left)
+    Documents of one length are placed together: an open row takes as many as fit before the next fullest one is asked.
+    """
+    rows, open_ = 0, [0] * (length + 1)  # rows by their free tokens
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        for free in range(n, length + 1):
+            while left and open_[free]:
+                each = min(free // n, left)
+                many = min(open_[free], left // each)
+                open_[free] -= many
+                open_[free - each * n] += many
+                left -= many * each
+        full, part = divmod(left, length // n)
+        rows += full + (part > 0)
+        open_[length - length // n * n] += full
+        if part:
+            open_[length - part * n] += 1
     return rows
 
 
-def counterfactual(docs: DataFrame, keys: list[str], order: str, length: int) -> DataFrame:
-    """Rows of the same documents under four policies, for each stream."""
+def counterfactual(docs: DataFrame, keys: list[str], order: str, length: int, bucket: Column | None = None) -> DataFrame:
+    """Rows of the same documents under four policies, for each stream; documents over ``length`` take whole rows of their own.
+
+    Two are sums, next-fit is ``next_fit``, and best-fit decreasing needs the number of documents of each length only.
+    """
+    own = F.when(F.col("n_tokens") > length, F.ceil(F.col("n_tokens") / length)).otherwise(F.lit(0))
+    sums = docs.groupBy(*keys).agg(F.sum(F.ceil(F.col("n_tokens") / length)).alias("pad_only"), F.ceil(F.sum("n_tokens") / length).alias("concat_chop"), F.sum(own).alias("_own"))
+    fitted = next_fit(docs, keys, order, length, bucket).groupBy(*keys).agg((F.coalesce(F.max("row"), F.lit(-1)) + 1).alias("_rows"))
+    histogram = docs.where(F.col("n_tokens").between(1, length)).groupBy(*keys, "n_tokens").count()
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        n = part.sort_values(order)["n_tokens"].tolist()
-        row, free = (1, length) if any(x <= length for x in n) else (0, length)
-        for x in n:
-            if x > length:
-                row += -(-x // length)
-                continue
-            if x > free:
-                row, free = row + 1, length
-            free -= x
-        out = {k: part[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**out, "pad_only": sum(-(-x // length) for x in n), "concat_chop": -(-sum(n) // length), "next_fit": row, "best_fit_decreasing": best_fit_decreasing(n, length)}])
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, best_fit_decreasing(dict(zip(rows["n_tokens"].tolist(), rows["count"].tolist())), length)]], columns=[*keys, "_best"])
 
     schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.groupBy(*keys).applyInPandas(count, f"{schema}, pad_only long, concat_chop long, next_fit long, best_fit_decreasing long")
+    best = histogram.groupBy(*keys).applyInPandas(fold, f"{schema}, _best long")
+    j = sums.join(fitted, keys, "left").join(best, keys, "left")
+    rows = lambda c: (F.coalesce(F.col(c), F.lit(0)) + F.col("_own")).cast("long")
+    return j.select(*keys, F.col("pad_only").cast("long").alias("pad_only"), F.col("concat_chop").cast("long").alias("concat_chop"), rows("_rows").alias("next_fit"), rows("_best").alias("best_fit_decreasing"))
 
 
 def materialize_rows(spans: DataFrame, docs: DataFrame, length: int, pad: int) -> DataFrame:

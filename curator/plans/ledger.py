@@ -226,8 +226,8 @@ def two_run_compare(spark, sf):
 
 def counterfactual_policies(spark, sf):
     """Rows needed by the multilingual lane's streams under four policies."""
-    d = packing.fitting(spark, sf, "indic", 10**9).select("subpool", "h", "n_tokens")
-    return P.counterfactual(d, ["subpool"], "h", packing.BASE)
+    d = packing.lane_stream(spark, sf, "indic").select("subpool", "h", "n_tokens")
+    return P.counterfactual(d, ["subpool"], "h", packing.BASE, packing.stream_bucket(d))
 
 
 RECORDS = """
@@ -302,6 +302,7 @@ SQL = {
     "perf_by_policy": f"""WITH {packing.CHOP}, a AS (SELECT count(DISTINCT row_no) AS n_rows, sum(end_tok - start_tok)::BIGINT AS n_real FROM spans),
         b AS (SELECT sum(ceil(n_tokens / 512))::BIGINT AS pad_only_rows, ceil(sum(n_tokens) / 512)::BIGINT AS concat_rows FROM s)
         SELECT n_rows, n_real, round(n_real / (n_rows * 512), 6) AS utilization, pad_only_rows, concat_rows FROM a, b""",
+    "counterfactual_policies": f"WITH RECURSIVE {packing.POOLED}, {packing.policies('subpool', 'indic')} SELECT subpool, pad_only, concat_chop, own + next_fit AS next_fit, own + best_fit AS best_fit_decreasing FROM policies",
     "latencies": f"WITH {RECORDS}, s AS (SELECT cents, row_number() OVER (ORDER BY cents) - 1 AS i, count(*) OVER () AS n FROM rec) SELECT count(*) AS n, round(avg(cents), 6) AS mean, max(cents) FILTER (WHERE i = n // 2) AS p50, max(cents) AS max FROM s",
     "top3_tokens": f"WITH {SPANS}, t AS (SELECT branch, step, event_id, row_number() OVER (PARTITION BY branch, step ORDER BY cents DESC, event_id)::INTEGER AS rank FROM sp) SELECT * FROM t WHERE rank <= 3",
     "multiset_equal": f"WITH {RECORDS} SELECT 'first' AS side, count(*) AS n FROM rec WHERE branch = 1 AND event_type = 'click' HAVING count(*) > 0",
@@ -312,7 +313,7 @@ QUERIES = {f.__name__: f for f in (ledger_chain, ledger_verify, ledger_tamper_fi
 
 def verification(spark, sf):
     """Checks and controls on the stand-in run."""
-    docs = packing.conversation_rows(spark, sf).select("doc_id", "n_tokens")
+    docs = packing.conversation_docs(spark, sf).select("doc_id", "n_tokens")
     out = checks.verify_run(spark, chain(spark, sf), decisions(spark, sf), packing.spans_of(docs), docs, 2 * packing.LONG)
     return out.select("requirement", "check", "ok")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,11 @@ from curator.operators import packing as P
 from curator.operators.sized import running_sum
 from curator.plans.admission import W
 from curator.plans.tables import documents, table
+from curator.scratch import materialize
 
 SEED, BASE, LONG, TARGET = 1234, 512, 4096, 60_000
+#: Documents of a stream that are packed in one task.
+PER_BUCKET = 100_000
 FRACTIONS, NEED = {"web": 0.05, "indic": 0.1, "stem": 0.02}, {"web": 20_000, "indic": 5_000}
 STREAM = ["lane", "pool", "subpool"]
 
@@ -23,10 +28,11 @@ def lane_docs(spark, sf) -> DataFrame:
     digits = F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4
     hint = F.when(F.col("lang") != "en", "indic").when(digits.isin(0, 1), "web").when(digits == 2, "stem").otherwise("code")
     d = documents(spark, sf)
-    d = d.select("doc_id", "lang", "source", (F.size(T.words(F.col("text"))) + 1).cast("long").alias("n_tokens"), hint.alias("lane_hint"), F.lit(0).cast("long").alias("tool_calls"), F.sha2("text", 256).alias("content"), F.contains("text", F.lit("@")).cast("int").alias("pii"))
+    d = d.select("doc_id", "lang", "source", (T.n_words(F.col("text")) + 1).cast("long").alias("n_tokens"), hint.alias("lane_hint"), F.lit(0).cast("long").alias("tool_calls"), F.sha2("text", 256).alias("content"), F.contains("text", F.lit("@")).cast("int").alias("pii"))
     c = A.render(table(spark, sf, "conversations")).groupBy("conv_id").agg(F.max("end").alias("n_tokens"), F.sum(F.col("eligible").cast("long")).alias("tool_calls"))
     c = c.select((F.col("conv_id") + 10**12).alias("doc_id"), F.lit("en").alias("lang"), F.lit("chat").alias("source"), "n_tokens", F.lit("agentic").alias("lane_hint"), "tool_calls", F.sha2(F.col("conv_id").cast("string"), 256).alias("content"), F.lit(0).alias("pii"))
-    return L.assign(d.unionByName(c), BASE, LONG)
+    # texts are read once; everything from here on works on these narrow rows
+    return materialize(L.assign(d.unionByName(c), BASE, LONG), "lanes")
 
 
 def pooled(spark, sf) -> DataFrame:
@@ -91,40 +97,52 @@ def pack_concat_chop_rows(spark, sf):
     return chopped(spark, sf).groupBy("lane", F.col("row").alias("row_no")).agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_real"))
 
 
-def fitting(spark, sf, lane: str, most: int) -> DataFrame:
-    d = pooled(spark, sf).where((F.col("lane") == lane) & (F.col("n_tokens") <= most)).select("doc_id", *STREAM, "n_tokens")
+def lane_stream(spark, sf, lane: str) -> DataFrame:
+    """All documents of a lane with their order in the stream."""
+    d = pooled(spark, sf).where(F.col("lane") == lane).select("doc_id", *STREAM, "n_tokens")
     return d.withColumn("h", L.order_key(F.lit(SEED), F.col("lane"), F.lit(0), F.col("doc_id")))
 
 
+def stream_bucket(docs: DataFrame):
+    """Buckets along the order of hashes, of about ``PER_BUCKET`` documents; None if one holds all."""
+    digits = math.ceil(math.log(max(docs.count() / PER_BUCKET, 1), 16))
+    return F.substring("h", 1, digits) if digits else None
+
+
 def pack_next_fit(spark, sf):
-    return P.next_fit(fitting(spark, sf, "indic", BASE), STREAM, "h", BASE).select(*STREAM, "doc_id", F.col("row").alias("row_no"))
+    """Whole documents in rows of BASE tokens; row_no is null for those that no row holds."""
+    d = lane_stream(spark, sf, "indic")
+    return P.next_fit(d, STREAM, "h", BASE, stream_bucket(d)).select(*STREAM, "doc_id", F.col("row").alias("row_no"))
 
 
 def pack_best_fit(spark, sf):
-    return P.best_fit(fitting(spark, sf, "code", BASE), STREAM, "h", BASE, 8).select(*STREAM, "doc_id", F.col("row").alias("row_no"), "ord")
+    """The look-ahead packer on the code lane; row_no and ord are null for documents that no row holds."""
+    return P.best_fit(lane_stream(spark, sf, "code"), STREAM, "h", BASE, 8).select(*STREAM, "doc_id", F.col("row").alias("row_no"), "ord")
 
 
 def counterfactual_rows(spark, sf):
-    d = fitting(spark, sf, "web", 10**9).select("lane", "h", "n_tokens")
-    return P.counterfactual(d, ["lane"], "h", BASE)
+    d = lane_stream(spark, sf, "web").select("lane", "h", "n_tokens")
+    return P.counterfactual(d, ["lane"], "h", BASE, stream_bucket(d))
 
 
-def conversation_rows(spark, sf) -> DataFrame:
-    """Conversations as rows of LONG tokens, packed in order of their ids; token i of a conversation is number i."""
+def conversation_docs(spark, sf) -> DataFrame:
+    """Conversations with their tokens, token i of a conversation being number i, and which are eligible for loss."""
     r = A.render(table(spark, sf, "conversations"))
     e = r.withColumn("n", F.col("end") - F.col("start"))
     elig = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n", "eligible", "is_last"))), lambda t: F.when(t["is_last"], F.concat(F.array_repeat(t["eligible"].cast("int"), (t["n"] - 1).cast("int")), F.array(F.lit(1)))).otherwise(F.array_repeat(t["eligible"].cast("int"), t["n"].cast("int")))))
     docs = e.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sum("n").alias("n_tokens"), elig.alias("elig"))
-    return docs.withColumn("tokens", F.sequence(F.lit(0), (F.col("n_tokens") - 1).cast("int"))).where(f"n_tokens <= {LONG}")
+    return docs.withColumn("tokens", F.sequence(F.lit(0), (F.col("n_tokens") - 1).cast("int")))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    d = running_sum(docs.select("doc_id", "n_tokens").withColumn("k", F.lit(1)), ["k"], [F.col("doc_id")], F.lit(1), F.floor(F.col("doc_id") / 64), "i")
-    return d.select((F.col("i") / 2).cast("long").alias("row_id"), (F.col("i") % 2).alias("ord"), "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_tokens").alias("end"))
+    """Rows of two spans in order of ids; a conversation over LONG tokens is cut into spans of LONG."""
+    d = docs.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_tokens") - 1).cast("long"), F.lit(LONG).cast("long"))).alias("start"))
+    d = running_sum(d.withColumn("k", F.lit(1)), ["k"], [F.col("doc_id"), F.col("start")], F.lit(1), F.floor(F.col("doc_id") / 4096), "i")
+    return d.select((F.col("i") / 2).cast("long").alias("row_id"), (F.col("i") % 2).alias("ord"), "doc_id", "start", F.least(F.col("start") + LONG, F.col("n_tokens")).alias("end"))
 
 
 def packed(spark, sf) -> DataFrame:
-    docs = conversation_rows(spark, sf)
+    docs = conversation_docs(spark, sf)
     return P.materialize_rows(spans_of(docs), docs, 2 * LONG, -1)
 
 
@@ -139,7 +157,7 @@ def row_positions(spark, sf):
 
 
 def attention_pairs(spark, sf):
-    return P.attention_pairs(spans_of(conversation_rows(spark, sf)), 2 * LONG)
+    return P.attention_pairs(spans_of(conversation_docs(spark, sf)), 2 * LONG)
 
 
 def microbatches(spark, sf):
@@ -185,11 +203,29 @@ s AS (SELECT doc_id, lane, n_tokens, sum(n_tokens) OVER (ORDER BY {HEX("'1234|we
 x AS (SELECT *, unnest(range((p0 // 512)::BIGINT, ((p0 + n_tokens - 1) // 512 + 1)::BIGINT)) AS row_no FROM s),
 spans AS (SELECT lane, row_no::BIGINT AS row_no, doc_id, greatest(0, row_no * 512 - p0)::BIGINT AS start_tok, least(n_tokens, (row_no + 1) * 512 - p0)::BIGINT AS end_tok FROM x)
 """
+
+
+def policies(key: str, lane: str) -> str:
+    """Rows under four policies of each ``key`` of a lane: next-fit and best-fit decreasing one document after the other."""
+    return f"""
+d AS (SELECT {key}, n_tokens AS n, row_number() OVER (PARTITION BY {key} ORDER BY {HEX(f"'1234|{lane}|0|' || doc_id")}) AS i, row_number() OVER (PARTITION BY {key} ORDER BY n_tokens DESC, doc_id) AS j FROM pooled WHERE lane = '{lane}' AND n_tokens <= 512),
+di AS (SELECT {key}, n, row_number() OVER (PARTITION BY {key} ORDER BY i) AS i FROM d), dj AS (SELECT {key}, n, row_number() OVER (PARTITION BY {key} ORDER BY j) AS j FROM d),
+nf AS (SELECT {key}, 1::BIGINT AS i, 1::BIGINT AS r, 512 - n AS free FROM di WHERE i = 1
+       UNION ALL SELECT {key}, x.i, CASE WHEN x.n > nf.free THEN r + 1 ELSE r END, CASE WHEN x.n > nf.free THEN 512 ELSE nf.free END - x.n FROM nf JOIN di x USING ({key}) WHERE x.i = nf.i + 1),
+bf AS (SELECT {key}, 1::BIGINT AS j, [512 - n] AS open FROM dj WHERE j = 1
+       UNION ALL SELECT {key}, j, CASE WHEN m IS NULL THEN open || [512 - n] ELSE open[1 : list_position(open, m) - 1] || open[list_position(open, m) + 1 :] || [m - n] END
+       FROM (SELECT {key}, x.j, x.n, open, list_min(list_filter(open, lambda f: f >= x.n)) AS m FROM bf JOIN dj x USING ({key}) WHERE x.j = bf.j + 1)),
+whole AS (SELECT {key}, sum(ceil(n_tokens / 512))::BIGINT AS pad_only, ceil(sum(n_tokens) / 512)::BIGINT AS concat_chop, coalesce(sum(ceil(n_tokens / 512)) FILTER (WHERE n_tokens > 512), 0)::BIGINT AS own FROM pooled WHERE lane = '{lane}' GROUP BY {key}),
+policies AS (SELECT w.*, coalesce((SELECT max(r) FROM nf WHERE nf.{key} = w.{key}), 0) AS next_fit, coalesce((SELECT max(len(open)) FROM bf WHERE bf.{key} = w.{key}), 0) AS best_fit FROM whole w)
+"""
+
+
 CONV = f"""
 t AS (SELECT conv_id, turn, role IN ('assistant', 'tool_call') AS e, len({W.format("coalesce(text, '')")}) + 1 AS n FROM conversations),
 t2 AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - n AS s FROM t),
-docs AS (SELECT conv_id AS doc_id, (sum(n) + 1)::BIGINT AS n_tokens FROM t GROUP BY conv_id HAVING sum(n) + 1 <= 4096),
-sp AS (SELECT doc_id, n_tokens, (row_number() OVER (ORDER BY doc_id) - 1) // 2 AS row_id, (row_number() OVER (ORDER BY doc_id) - 1) % 2 AS ord FROM docs),
+docs AS (SELECT conv_id AS doc_id, (sum(n) + 1)::BIGINT AS n_tokens FROM t GROUP BY conv_id),
+cut AS (SELECT doc_id, n_tokens, unnest(range(0, n_tokens, 4096)) AS a FROM docs),
+sp AS (SELECT doc_id, a, least(a + 4096, n_tokens) - a AS n, (row_number() OVER (ORDER BY doc_id, a) - 1) // 2 AS row_id, (row_number() OVER (ORDER BY doc_id, a) - 1) % 2 AS ord FROM cut),
 pos AS (SELECT conv_id AS doc_id, unnest(range(s::BIGINT, (s + n)::BIGINT)) AS i, e FROM t2 UNION ALL SELECT doc_id, n_tokens - 1, true FROM docs)
 """
 
@@ -208,10 +244,22 @@ SQL = {
         s AS (SELECT doc_id, lane, pool, subpool, n_tokens, row_number() OVER (PARTITION BY lane, pool, subpool ORDER BY {HEX("'1234|indic|0|' || doc_id")}) AS i FROM pooled WHERE lane = 'indic' AND n_tokens <= 512),
         f AS (SELECT *, 0 AS row_no, 512 - n_tokens AS free FROM s WHERE i = 1 UNION ALL
               SELECT s.*, CASE WHEN s.n_tokens > f.free THEN f.row_no + 1 ELSE f.row_no END, CASE WHEN s.n_tokens > f.free THEN 512 ELSE f.free END - s.n_tokens FROM f JOIN s ON s.i = f.i + 1 AND s.lane = f.lane AND s.pool = f.pool AND s.subpool = f.subpool)
-        SELECT lane, pool, subpool, doc_id, row_no::BIGINT AS row_no FROM f""",
-    "row_loss_mask": f"WITH {CONV} SELECT row_id, sum(CASE WHEN i >= 0 THEN 1 END)::BIGINT AS n_real, count(*) FILTER (WHERE e AND i > 0) AS n_loss, coalesce(sum(i) FILTER (WHERE e AND i > 0), 0)::BIGINT AS label_sum FROM sp JOIN pos USING (doc_id) GROUP BY row_id",
-    "row_positions": f"WITH {CONV} SELECT row_id, sum(n_tokens * (n_tokens - 1) // 2)::BIGINT AS position_sum, sum(n_tokens * (ord + 1))::BIGINT AS segment_sum, 8192::BIGINT AS length FROM sp GROUP BY row_id",
-    "attention_pairs": f"WITH {CONV} SELECT row_id, (sum(n_tokens * (n_tokens + 1) // 2) + 8192 - sum(n_tokens))::BIGINT AS allowed FROM sp GROUP BY row_id",
+        SELECT lane, pool, subpool, doc_id, row_no::BIGINT AS row_no FROM f UNION ALL SELECT lane, pool, subpool, doc_id, NULL FROM pooled WHERE lane = 'indic' AND n_tokens > 512""",
+    # the buffer is a list of (place, length); a step takes its longest that fits, or opens a row and fills the buffer
+    "pack_best_fit": f"""WITH RECURSIVE {POOLED},
+        g AS (SELECT lane, pool, subpool, list({{'d': doc_id, 'n': n_tokens}} ORDER BY {HEX("'1234|code|0|' || doc_id")}) AS ds FROM pooled WHERE lane = 'code' AND n_tokens <= 512 GROUP BY ALL),
+        b AS (SELECT lane, pool, subpool, []::STRUCT(i BIGINT, n BIGINT)[] AS buf, 1::BIGINT AS nxt, -1::BIGINT AS r, 0 AS o, 0::BIGINT AS free, NULL::BIGINT AS taken FROM g
+              UNION ALL
+              SELECT lane, pool, subpool, CASE WHEN i IS NULL THEN buf || list_transform(range(nxt, least(nxt + 8 - len(buf), len(ds) + 1)), lambda k: {{'i': k, 'n': ds[k].n}}) ELSE list_filter(buf, lambda x: x.i <> i) END,
+                     CASE WHEN i IS NULL THEN least(nxt + 8 - len(buf), len(ds) + 1) ELSE nxt END, CASE WHEN i IS NULL THEN r + 1 ELSE r END, CASE WHEN i IS NULL THEN 0 ELSE o + 1 END, CASE WHEN i IS NULL THEN 512 ELSE free - ds[i].n END, i
+              FROM (SELECT b.*, ds, list_min(list_transform(list_filter(buf, lambda x: x.n = list_max(list_transform(list_filter(buf, lambda y: y.n <= free), lambda y: y.n))), lambda x: x.i)) AS i FROM b JOIN g USING (lane, pool, subpool))
+              WHERE i IS NOT NULL OR len(buf) > 0 OR nxt <= len(ds))
+        SELECT lane, pool, subpool, ds[taken].d AS doc_id, r AS row_no, (o - 1)::INTEGER AS ord FROM b JOIN g USING (lane, pool, subpool) WHERE taken IS NOT NULL
+        UNION ALL SELECT lane, pool, subpool, doc_id, NULL, NULL FROM pooled WHERE lane = 'code' AND n_tokens > 512""",
+    "counterfactual_rows": f"WITH RECURSIVE {POOLED}, {policies('lane', 'web')} SELECT lane, pad_only, concat_chop, own + next_fit AS next_fit, own + best_fit AS best_fit_decreasing FROM policies",
+    "row_loss_mask": f"WITH {CONV} SELECT row_id, count(*) AS n_real, count(*) FILTER (WHERE e AND i > a) AS n_loss, coalesce(sum(i) FILTER (WHERE e AND i > a), 0)::BIGINT AS label_sum FROM sp JOIN pos ON pos.doc_id = sp.doc_id AND i >= a AND i < a + n GROUP BY row_id",
+    "row_positions": f"WITH {CONV} SELECT row_id, sum(n * (n - 1) // 2)::BIGINT AS position_sum, sum(n * (ord + 1))::BIGINT AS segment_sum, 8192::BIGINT AS length FROM sp GROUP BY row_id",
+    "attention_pairs": f"WITH {CONV} SELECT row_id, (sum(n * (n + 1) // 2) + 8192 - sum(n))::BIGINT AS allowed FROM sp GROUP BY row_id",
     "microbatches": """WITH d AS (SELECT doc_id, doc_id % 10 AS step, CASE WHEN lang = 'en' THEN 128 ELSE 256 END AS L FROM documents)
         SELECT step, L, doc_id, ((row_number() OVER (PARTITION BY step, L ORDER BY doc_id) - 1) // (1024 // L))::INTEGER AS microbatch FROM d""",
 }

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -109,7 +110,7 @@ def test_policies(spark):
         rows.setdefault(r.row, []).append(r.n_tokens)
     assert {k: sorted(v) for k, v in rows.items()} == {0: [5, 9], 1: [3, 12], 2: [4, 7]}
     assert [[n[i] for i in row] for row in packing.look_ahead_rows(n, 16, 4)] == [[12, 3], [9, 7], [5, 4]]
-    assert packing.best_fit_decreasing(n, 16) == 3 and packing.best_fit_decreasing([40], 16) == 3
+    assert packing.best_fit_decreasing(Counter(n), 16) == 3
     with pytest.raises(packing.PackingError):
         packing.look_ahead_rows([17], 16, 4)
     spans = packing.concat_chop(d.withColumn("doc_id", F.col("i")), ["k"], [F.col("i")], F.floor(F.col("i") / 2), 16).collect()
@@ -171,3 +172,50 @@ def test_checks_fail_closed(spark):
     e.control("c", "unnoticed", lambda: True)
     assert [e.requirement(r) for r in "abcd"] == [False, True, False, False]
     assert e.table(spark).count() == 3
+
+
+def one_by_one(lengths, size):
+    """Rows of best-fit decreasing, one document at a time."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        best = min((f for f in free if f >= n), default=None)
+        if best is not None:
+            free.remove(best)
+        free.append((size if best is None else best) - n)
+    return len(free)
+
+
+def test_best_fit_decreasing_by_counts():
+    r = random.Random(3)
+    for _ in range(400):
+        size = r.choice([7, 16, 50])
+        n = [r.randint(1, r.choice([3, size])) for _ in range(r.randint(0, 60))]
+        assert packing.best_fit_decreasing(Counter(n), size) == one_by_one(n, size), (size, n)
+
+
+def test_next_fit_in_buckets_and_long_documents(spark):
+    r = random.Random(4)
+    rows = [(f"k{i % 3}", i, r.choice([0, 1, 3, 8, 16, 17, 40])) for i in range(400)]
+    d = frame(spark, rows, "k string, i long, n_tokens long").repartition(5)
+    want, got = {}, {}
+    for k in ("k0", "k1", "k2"):
+        row, free = 0, 16
+        for _, i, n in (x for x in rows if x[0] == k):
+            if n > 16:
+                want[i] = None
+                continue
+            if n > free:
+                row, free = row + 1, 16
+            want[i], free = row, free - n
+    for bucket in (None, F.floor(F.col("i") / 20), F.floor(F.col("i") / 7), F.lit(0)):
+        got = {x.i: x.row for x in packing.next_fit(d, ["k"], "i", 16, bucket).collect()}
+        assert got == want
+    c = {x.k: x for x in packing.counterfactual(d, ["k"], "i", 16, F.floor(F.col("i") / 30)).collect()}
+    for k, x in c.items():
+        n = [z for y, _, z in rows if y == k]
+        own = sum(-(-z // 16) for z in n if z > 16)
+        assert (x.pad_only, x.concat_chop) == (sum(-(-z // 16) for z in n), -(-sum(n) // 16))
+        assert x.next_fit == own + 1 + max(want[i] for y, i, z in rows if y == k and z <= 16)
+        assert x.best_fit_decreasing == own + one_by_one([z for z in n if 0 < z <= 16], 16)
+    longest = {x.i: (x.row, x.ord) for x in packing.best_fit(d, ["k"], "i", 16, 4).collect()}
+    assert set(longest) == set(want) and {i for i, x in longest.items() if x == (None, None)} == {i for i, x in want.items() if x is None}
