@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from curator.llm.spread import map_arrow
 
 #: Entries of a worker's memo of pre-tokens, and of its table of prefixes; either is emptied when full.
-MEMO, PREFIXES = 250_000, 400_000
+MEMO, PREFIXES = 200_000, 300_000
 #: The longest pre-token, in bytes, whose prefixes are kept for others.
 SHARED = 64
 
@@ -86,7 +86,7 @@ class Vocabulary:
         """True if no merge crosses the border of ``s`` and ``t``."""
         known = self.pairs.get((s << 20) + t)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[(s << 20) + t] = self._apart(s, t)
         return known

@@ -45,7 +45,7 @@ WINDOW, ROUNDS = 35, 4
 #: Odd multipliers that keep the parts of a name apart.
 LEFT, RUN, SECOND = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0x165667B19E3779F9)
 #: Words whose names a worker remembers, and the longest of them in bytes; the memo is emptied when full.
-MEMO, REMEMBERED = 500_000, 64
+MEMO, REMEMBERED = 250_000, 64
 
 
 class Names(dict):
