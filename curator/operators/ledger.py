@@ -84,6 +84,19 @@ def orphans(ledger: DataFrame, checkpoints: DataFrame, branch: str = "branch", o
     return ledger.join(c, (ledger[branch] == c["_b"]) & (ledger[offset] > c["_k"])).drop("_b", "_k")
 
 
+def resume(ledger: DataFrame, checkpoints: DataFrame, side: DataFrame, declared: DataFrame, again: DataFrame, attempt: int = 1, branch: str = "branch", offset: str = "ledger_offset", **more) -> DataFrame:
+    """One row for each branch: what recovery to its checkpoint keeps and drops of the ledger and of a ``side`` ledger, the new attempt, and
+    whether the first record ``again`` after it is the ``declared`` one (branch, declared hash) and the one from before the crash."""
+    r = recover(ledger, checkpoints, branch, offset, **more)
+    at = checkpoints.select(F.col(branch).alias("_b"), F.col(offset).alias("_k"))
+    dropped = side.join(at, (side[branch] == at["_b"]) & (side[offset] > at["_k"])).groupBy("_b").agg(F.count("*").alias("side_dropped"))
+    first = lambda d, name: d.join(at, (d[branch] == at["_b"]) & (d[offset] == at["_k"] + 1)).select("_b", F.col("record_hash").alias(name))
+    out = r.join(dropped.withColumnRenamed("_b", branch), branch, "left").join(declared.select(branch, "declared"), branch, "left")
+    out = out.join(first(ledger, "before").withColumnRenamed("_b", branch), branch, "left").join(first(again, "now").withColumnRenamed("_b", branch), branch, "left")
+    same = lambda c: F.coalesce(F.col("now") == F.col(c), F.lit(False))
+    return out.select(branch, "checkpoint_offset", "kept", "orphans", F.coalesce("side_dropped", F.lit(0)).cast("long").alias("side_dropped"), F.lit(attempt + 1).alias("attempt"), "refused", same("declared").alias("as_declared"), same("before").alias("as_before"))
+
+
 def truncate(side: DataFrame, step: str, most: int) -> DataFrame:
     """A side ledger up to a step."""
     return side.where(F.col(step) <= most)
