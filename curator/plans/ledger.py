@@ -7,7 +7,6 @@ from pyspark.sql.window import Window
 
 from curator.functions.hashing import canonical_json
 from curator.operators import audit as Q
-from curator.operators import checks
 from curator.operators import ledger as L
 from curator.operators import packing as P
 from curator.operators import selection as S
@@ -309,16 +308,3 @@ SQL = {
     "two_run_compare": f"WITH {RECORDS} SELECT DISTINCT branch, step AS batch, 'batch_hash' AS difference FROM recs WHERE branch = 1 AND step >= 2",
 }
 QUERIES = {f.__name__: f for f in (ledger_chain, ledger_verify, ledger_tamper_first_break, recover_to_checkpoint, orphaned_records, side_ledger_truncate, stream_fingerprint, replay_compare, fork_divergence, checkpoint_binding, audit_q1_behind_checkpoints, audit_q2_token_window, loss_jump, opus_scores, opus_decide, opus_floor_overrides, decisions_by_lane, deferral_fate, audit_q3_before_jump, audit_q4_review, audit_q5_overrides, audit_q6_report_card, audit_q7_firewall_trace, perf_metrics, perf_by_policy, latencies, top3_tokens, multiset_equal, two_run_compare, counterfactual_policies)}
-
-
-def verification(spark, sf):
-    """Checks and controls on the stand-in run."""
-    docs = packing.conversation_docs(spark, sf).select("doc_id", "n_tokens")
-    out = checks.verify_run(spark, chain(spark, sf), decisions(spark, sf), packing.spans_of(docs), docs, 2 * packing.LONG)
-    return out.select("requirement", "check", "ok")
-
-
-QUERIES["verification"] = verification
-SQL["verification"] = """SELECT * FROM (VALUES ('ledger', 'the chain holds', true), ('ledger', 'control: a changed payload', true), ('selection', 'one decision for each trained row', true),
-    ('selection', 'control: a row trained twice', true), ('packing', 'spans fit their rows and documents', true), ('packing', 'control: a span that is too long', true),
-    ('replay', 'equal multisets', true), ('replay', 'control: a lost row', true), ('attention', 'no pair crosses segments', true)) t(requirement, "check", ok)"""
