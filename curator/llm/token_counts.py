@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -64,12 +65,12 @@ class Leaf:
     """Some pre-tokens in a row: their text, and the characters and tokens of each."""
 
     text: str
-    chars: list[int]
-    counts: list[int]
+    chars: np.ndarray
+    counts: np.ndarray
 
     def pieces(self) -> list[tuple[str, int]]:
-        end = list(accumulate(self.chars))
-        return [(self.text[e - n : e], c) for e, n, c in zip(end, self.chars, self.counts)]
+        end = list(accumulate(self.chars.tolist()))
+        return [(self.text[a:e], c) for a, e, c in zip([0, *end], end, self.counts.tolist())]
 
 
 class CountTree:
@@ -87,10 +88,10 @@ class CountTree:
 
     @staticmethod
     def _leaf(pieces: list[tuple[str, int]]) -> Leaf:
-        return Leaf("".join([p for p, _ in pieces]), [len(p) for p, _ in pieces], [c for _, c in pieces])
+        return Leaf("".join([p for p, _ in pieces]), np.array([len(p) for p, _ in pieces], np.int32), np.array([c for _, c in pieces], np.int32))
 
     def _grow(self, leaves: list[Leaf], chars: list[int] | None = None, counts: list[int] | None = None) -> None:
-        self.leaves = leaves or [Leaf("", [], [])]
+        self.leaves = leaves or [self._leaf([])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         if chars is not None and counts is not None:
             self.chars, self.counts = chars, counts
@@ -103,7 +104,7 @@ class CountTree:
 
     def _sum(self, leaf: int) -> None:
         self.chars[self.size + leaf] = len(self.leaves[leaf].text)
-        self.counts[self.size + leaf] = sum(self.leaves[leaf].counts)
+        self.counts[self.size + leaf] = int(self.leaves[leaf].counts.sum())
 
     def _join(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -155,7 +156,7 @@ class CountTree:
     def _before(self, leaf: int, chars: int) -> int:
         """Whole pre-tokens of the leaf's first ``chars`` characters."""
         n = 0
-        for p in self.leaves[leaf].chars:
+        for p in self.leaves[leaf].chars.tolist():
             chars -= p
             if chars < 0:
                 break
@@ -216,25 +217,76 @@ EDITS = "array<struct<start: bigint, end: bigint, insert: string>>"
 TREE = "leaves array<string>, pieces array<int>, chars array<int>, counts array<int>, node_chars array<int>, node_counts array<int>"
 
 
+def _list(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """An array of lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *parts])
+
+
 def _stored(trees: list[CountTree]) -> list[pa.Array]:
     """The columns of ``TREE``."""
-    lists = lambda rows: pa.array(rows, pa.list_(pa.int32()))
+    leaves = [leaf for t in trees for leaf in t.leaves]
+    many = np.array([len(t.leaves) for t in trees], np.int64)
+    pieces = np.array([len(leaf.chars) for leaf in leaves], np.int64)
+    of = np.add.reduceat(pieces, np.cumsum(many) - many) if len(many) else many
+    nodes = np.array([2 * t.size for t in trees], np.int64)
     return [
-        pa.array([[leaf.text for leaf in t.leaves] for t in trees], pa.list_(pa.string())),
-        lists([[len(leaf.chars) for leaf in t.leaves] for t in trees]),
-        lists([list(chain.from_iterable([leaf.chars for leaf in t.leaves])) for t in trees]),
-        lists([list(chain.from_iterable([leaf.counts for leaf in t.leaves])) for t in trees]),
-        lists([t.chars for t in trees]),
-        lists([t.counts for t in trees]),
+        _list(pa.array([leaf.text for leaf in leaves], pa.string()), many),
+        _list(pieces, many),
+        _list(_joined([leaf.chars for leaf in leaves]), of),
+        _list(_joined([leaf.counts for leaf in leaves]), of),
+        _list(np.fromiter(chain.from_iterable([t.chars for t in trees]), np.int32, nodes.sum()), nodes),
+        _list(np.fromiter(chain.from_iterable([t.counts for t in trees]), np.int32, nodes.sum()), nodes),
     ]
 
 
+def _built(tokens: Counter, texts: list[str]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """The columns of ``TREE`` for new texts, and their tokens and characters, by whole arrays."""
+    found = [tokens.pattern.findall(t) for t in texts]
+    of = np.fromiter(map(len, found), np.int64, len(found))
+    flat = list(chain.from_iterable(found))
+    chars, counts = np.fromiter(map(len, flat), np.int64, len(flat)), np.fromiter(map(tokens.__getitem__, flat), np.int64, len(flat))
+    many = np.maximum(-(-of // LEAF), 1)
+    pieces = np.full(many.sum(), LEAF)
+    pieces[np.cumsum(many) - 1] = of - (many - 1) * LEAF  # the last leaf of each
+    end = np.cumsum(pieces)
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], end])])
+    leaf_chars, leaf_counts = total(chars), total(counts)
+    size = 1 << np.array([(n - 1).bit_length() for n in many.tolist()], np.int64)
+    node_chars, node_counts, leaves, at = [], [], [], 0
+    for text, n, s in zip(texts, many.tolist(), size.tolist()):
+        cut = [0, *np.cumsum(leaf_chars[at : at + n]).tolist()]
+        leaves += [text[a:b] for a, b in zip(cut, cut[1:])]
+        for sums, out in ((leaf_chars, node_chars), (leaf_counts, node_counts)):
+            nodes = np.zeros(2 * s, np.int64)
+            nodes[s : s + n] = sums[at : at + n]
+            level = s
+            while level > 1:
+                nodes[level // 2 : level] = nodes[level : 2 * level : 2] + nodes[level + 1 : 2 * level : 2]
+                level //= 2
+            out.append(nodes)
+        at += n
+    columns = [_list(pa.array(leaves, pa.string()), many), _list(pieces, many), _list(chars, of), _list(counts, of), _list(_joined(node_chars), 2 * size), _list(_joined(node_counts), 2 * size)]
+    first = lambda x: np.array([int(n[1]) for n in x], np.int64)
+    return columns, first(node_counts), first(node_chars)
+
+
 def _loaded(tokens: Counter, rows: pa.RecordBatch) -> Iterator[CountTree]:
+    """Trees of stored rows; what no edit touches stays as the arrays it is."""
+    lists = {}
+    for name in NAMES:
+        column = rows.column(name)
+        values = column.flatten()
+        lists[name] = (column.offsets.to_numpy() - column.offsets[0].as_py(), values.to_pylist() if name == "leaves" else values.to_numpy(zero_copy_only=False))
+    of = lambda name, i: lists[name][1][lists[name][0][i] : lists[name][0][i + 1]]
     for i in range(rows.num_rows):
-        texts, pieces, chars, counts, node_chars, node_counts = (rows.column(c)[i].as_py() for c in ("leaves", "pieces", "chars", "counts", "node_chars", "node_counts"))
-        end = list(accumulate(pieces))
-        leaves = [Leaf(t, chars[e - n : e], counts[e - n : e]) for t, e, n in zip(texts, end, pieces)]
-        yield CountTree(tokens, leaves, node_chars, node_counts)
+        chars, counts = of("chars", i), of("counts", i)
+        end = np.cumsum(of("pieces", i)).tolist()
+        leaves = [Leaf(t, chars[a:e], counts[a:e]) for t, a, e in zip(of("leaves", i), [0, *end], end)]
+        yield CountTree(tokens, leaves, of("node_chars", i).tolist(), of("node_counts", i).tolist())
 
 
 def count_trees(documents: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -243,9 +295,8 @@ def count_trees(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens = counter(path, pattern)
         for part in slices(b, "text", 500_000):
-            trees = [CountTree.of(tokens, t or "") for t in part.column("text").to_pylist()]
-            sums = [pa.array([t.total for t in trees], pa.int64()), pa.array([t.length for t in trees], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *sums, *_stored(trees)], ["doc_id", "tie", "n_tokens", "n_chars", *NAMES])
+            columns, n_tokens, n_chars = _built(tokens, [t or "" for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(n_tokens), pa.array(n_chars), *columns], ["doc_id", "tie", "n_tokens", "n_chars", *NAMES])
 
     d = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     return map_arrow(d, batch, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, tie long, n_tokens long, n_chars long, {TREE}")
