@@ -26,6 +26,11 @@ def link(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat_ws("|", prev, payload), 256)
 
 
+def link_text(prev: str, payload: str) -> str:
+    """``link`` of texts at hand."""
+    return hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
+
+
 def build(records: DataFrame, branch: str = "branch", offset: str = "ledger_offset", genesis: str = GENESIS) -> DataFrame:
     """``records`` (branch, offset, payload) with prev_record_hash and record_hash; a branch is chained in one pass."""
 
@@ -34,7 +39,7 @@ def build(records: DataFrame, branch: str = "branch", offset: str = "ledger_offs
         before, own, h = [], [], genesis
         for payload in rows["payload"]:
             before.append(h)
-            h = hashlib.sha256(f"{h}|{payload}".encode()).hexdigest()
+            h = link_text(h, payload)
             own.append(h)
         return rows.assign(prev_record_hash=before, record_hash=own)
 

@@ -62,19 +62,35 @@ def decide(candidates: DataFrame, band: float = BAND, max_deferrals: int = MAX_D
     return d.withColumns({"status": F.col("d.status"), "reason": F.col("d.reason")}).drop("d")
 
 
-def plan_lane(rows: pd.DataFrame, steps: list[tuple[int, int, int]], queue_cap: int = QUEUE, band: float = BAND, max_deferrals: int = MAX_DEFERRALS) -> pd.DataFrame:
+def plan_lane(rows: pd.DataFrame, steps: list[tuple[int, int, int]], queue_cap: int = QUEUE, band: float = BAND, max_deferrals: int = MAX_DEFERRALS, blocked: frozenset = frozenset(), kinds: dict[int, tuple] | None = None) -> pd.DataFrame:
     """Decisions of a selector lane over all steps: deferred candidates come back first, in the order they left.
 
     ``rows`` (idx, score) are drawn in order of idx; ``steps`` are (step, quota, candidates). One step's queue depends on the one before,
-    so this is a loop; its state is a queue of at most ``queue_cap``.
+    so this is a loop; its state is a queue of at most ``queue_cap``. ``blocked`` candidates hold evaluation data: they are rejected before anything is
+    ranked. ``kinds`` says the pool and row length of each step; a candidate deferred under another kind is rejected when its turn comes.
     """
-    queue: list[tuple[int, float, int]] = []
+    kinds = kinds or {}
+    queue: list[tuple[int, float, int, tuple | None]] = []
     fresh = iter(rows.sort_values("idx")[["idx", "score"]].itertuples(index=False, name=None))
     out = defaultdict(list)
+
+    def record(step: int, idx: int, s: float, rank: int, deferrals: int, status: str, reason: str) -> None:
+        for k, v in (("step", step), ("idx", idx), ("score", s), ("rank_in_lane", rank), ("deferrals", deferrals), ("status", status), ("reason", reason)):
+            out[k].append(v)
+
     for step, quota, size in steps:
-        taken, queue = queue[:size], queue[size:]
+        kind, taken = kinds.get(step), []
+        while queue and len(taken) < size:
+            idx, s, deferrals, was = queue.pop(0)
+            if was != kind:
+                record(step, idx, s, -1, deferrals, "rejected", "stage_mismatch")
+            else:
+                taken.append((idx, s, deferrals))
         while len(taken) < size and (row := next(fresh, None)) is not None:
-            taken.append((*row, 0))
+            if row[0] in blocked:
+                record(step, *row, -1, 0, "rejected", "eval_firewall")
+            else:
+                taken.append((*row, 0))
         for rank, (idx, s, deferrals) in enumerate(sorted(taken, key=lambda c: (-c[1], c[0]))):
             if rank < quota:
                 status, reason = "accepted", "opus_selected"
@@ -85,14 +101,20 @@ def plan_lane(rows: pd.DataFrame, steps: list[tuple[int, int, int]], queue_cap:
                     status, reason = "rejected", "defer_queue_full"
                 else:
                     status, reason = "deferred", "marginal_utility"
-                    queue.append((idx, s, deferrals + 1))
+                    queue.append((idx, s, deferrals + 1, kind))
             else:
                 status, reason = "rejected", "low_proxy_utility"
-            for k, v in (("step", step), ("idx", idx), ("score", s), ("rank_in_lane", rank), ("deferrals", deferrals), ("status", status), ("reason", reason)):
-                out[k].append(v)
+            record(step, idx, s, rank, deferrals, status, reason)
     return pd.DataFrame(out, columns=["step", "idx", "score", "rank_in_lane", "deferrals", "status", "reason"])
 
 
+def preview(rows: pd.DataFrame, steps: list[tuple[int, int, int]], step: int, **more) -> pd.DataFrame:
+    """What ``step`` would decide, without deciding it: planning is a function of what came before, so a copy of it is run one step on."""
+    upto = [s for s in steps if s[0] <= step]
+    planned = plan_lane(rows, upto, **more)
+    return planned[planned["step"] == step].reset_index(drop=True)
+
+
 def steps_to_drain(n: int, quota: int, size: int, band: float = BAND, max_deferrals: int = MAX_DEFERRALS) -> list[tuple[int, int, int]]:
     """Steps of ``size`` that use up ``n`` candidates and their queue; those beyond the end are empty and give no rows.
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = [import_module(f"curator.plans.{name}") for name in ("admission", "gates", "packing", "mixture", "ledger", "learning", "streams", "streaming", "verifier")]
+PARTS = [import_module(f"curator.plans.{name}") for name in ("admission", "gates", "packing", "mixture", "ledger", "learning", "streams", "storage", "streaming", "verifier")]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

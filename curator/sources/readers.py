@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import hashlib
+import json
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +113,81 @@ def document_slices(spans: DataFrame, docs: DataFrame) -> DataFrame:
     n = (F.col("end") - F.col("start")).cast("int")
     part = lambda c: F.slice(c, (F.col("start") + 1).cast("int"), n)
     return j.withColumns({"tokens": part("tokens"), "elig": part("elig")})
+
+
+def config(text: str, schema: dict[str, type]) -> dict[str, Any]:
+    """Settings from JSON; every name of ``schema`` must be there with its type, and no other."""
+    values = json.loads(text)
+    wrong = sorted(set(values) ^ set(schema)) or sorted(k for k, t in schema.items() if not isinstance(values[k], t))
+    if wrong:
+        raise ValueError(f"settings missing, unknown or of another type: {wrong}")
+    return values
+
+
+SCHEDULE = "step int, stage string, lane string, base_window int, row_len int, quota int"
+
+
+def schedule_table(spark: SparkSession, path: str) -> DataFrame:
+    """A schedule written as JSON lines, a row for each step and lane."""
+    return json_lines(spark, path, T._parse_datatype_string(SCHEDULE))
+
+
+def binary_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard_id, tokens, elig, content_hash) of shards in two files each: ``<id>.tokens`` of 16-bit ids and ``<id>.elig`` of bytes, little-endian.
+
+    The hash is made of the bytes read, so that it can be compared with a manifest's.
+    """
+    f = spark.read.format("binaryFile").load(path).select("path", "content")
+    name = F.regexp_extract("path", r"([^/]+)\.(?:tokens|elig)$", 1)
+    both = f.groupBy(name.alias("shard_id")).agg(F.max(F.when(F.endswith("path", F.lit(".tokens")), F.col("content"))).alias("t"), F.max(F.when(F.endswith("path", F.lit(".elig")), F.col("content"))).alias("e"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tokens = [np.frombuffer(t, "<u2").astype(np.int32) for t in b["t"]]
+            yield pd.DataFrame({"shard_id": b["shard_id"], "tokens": tokens, "elig": [np.frombuffer(e, "<u1").astype(np.int32) for e in b["e"]], "content_hash": [hashlib.sha256(bytes(t) + bytes(e)).hexdigest() for t, e in zip(b["t"], b["e"])]})
+
+    return both.mapInPandas(decode, "shard_id string, tokens array<int>, elig array<int>, content_hash string")
+
+
+def manifests(files: DataFrame, registry: DataFrame, tokenizer: str) -> DataFrame:
+    """(shard_id, problem) of manifests (shard_id, sha256, tokenizer_id) held against the registry (shard_id, manifest_sha256)."""
+    r = registry.select(F.col("shard_id").alias("r_id"), "manifest_sha256")
+    j = files.join(r, F.col("shard_id") == F.col("r_id"), "full_outer")
+    problem = F.when(F.col("r_id").isNull(), "not_registered").when(F.col("shard_id").isNull(), "manifest_missing").when(F.col("sha256") != F.col("manifest_sha256"), "manifest_changed").when(F.col("tokenizer_id") != tokenizer, "other_tokenizer")
+    return j.select(F.coalesce("shard_id", "r_id").alias("shard_id"), problem.alias("problem")).where("problem is not null")
+
+
+def open_registry(entries: DataFrame, recorded: str, hash_of) -> DataFrame:
+    """``entries`` if their hash is the recorded one."""
+    found = hash_of(entries)
+    if found != recorded:
+        raise IntegrityError(f"registry {found} is not the recorded {recorded}")
+    return entries
+
+
+def functions_of(modules: DataFrame) -> DataFrame:
+    """(module, function, text, file_sha256) of the top-level functions of Python modules (module, text); modules that do not parse have none."""
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for module, text in zip(b["module"], b["text"]):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError):
+                    continue
+                digest = hashlib.sha256((text or "").encode()).hexdigest()
+                out += [(module, x.name, ast.get_source_segment(text, x), digest) for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
+            yield pd.DataFrame(out, columns=["module", "function", "text", "file_sha256"])
+
+    return modules.select("module", "text").mapInPandas(extract, "module string, function string, text string, file_sha256 string")
+
+
+def plain_hashes(files: DataFrame) -> DataFrame:
+    """(path, sha256) of (path, content) by Python's own library: a reader that shares no code with ``hashed_files``."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "sha256": [hashlib.sha256(bytes(c)).hexdigest() for c in b["content"]]})
+
+    return files.select("path", "content").mapInPandas(digest, "path string, sha256 string")

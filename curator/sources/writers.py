@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+from collections.abc import Iterator
+from typing import TextIO
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.functions.hashing import canonical_json
+from curator.functions.hashing import GENESIS, canonical_json
+from curator.operators import ledger
+from curator.operators.learning import trace_hash
 
 
 class ImmutableError(Exception):
@@ -78,3 +85,112 @@ def report(values: dict) -> str:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_binary_shards(shards: DataFrame, path: str) -> None:
+    """Two files a shard (shard_id, tokens, elig): ids of 16 bits, and eligibility bytes. Executors make the bytes; they are written one shard at a time."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for shard, tokens, elig in zip(b["shard_id"], b["tokens"], b["elig"]):
+                yield pd.DataFrame({"name": [f"{shard}.tokens", f"{shard}.elig"], "content": [np.asarray(tokens, "<u2").tobytes(), np.asarray(elig, "<u1").tobytes()]})
+
+    packed = shards.select("shard_id", "tokens", "elig").mapInPandas(pack, "name string, content binary")
+    for row in packed.toLocalIterator():  # one file at a time; shards are few and of bounded size
+        write_bytes(shards.sparkSession, f"{path}/{row.name}", row.content)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file that is not there yet."""
+    fs, hadoop = _file_system(spark, path)
+    if fs.exists(hadoop.fs.Path(path)):
+        raise ImmutableError(path)
+    out = fs.create(hadoop.fs.Path(path), False)
+    out.write(content)
+    out.close()
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    return hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def eval_registry(fingerprints: DataFrame, canaries: list[str], documents: DataFrame) -> dict:
+    """The evaluation registry: documents by shard, sorted fingerprints of each size, canaries. The benchmark is small, so this is a driver's object."""
+    by_k: dict[str, list[str]] = {}
+    for r in fingerprints.select("k", "h").distinct().orderBy("k", "h").collect():
+        by_k.setdefault(str(r.k), []).append(r.h)
+    shards: dict[str, list] = {}
+    for r in documents.select("shard_id", "doc_id").orderBy("shard_id", "doc_id").collect():
+        shards.setdefault(r.shard_id, []).append(r.doc_id)
+    return {"canaries": sorted(canaries), "fingerprints": by_k, "shards": shards}
+
+
+def commit_batch(records: DataFrame, side: dict[str, DataFrame], path: str, batch_id: int, branch: str = "branch", offset: str = "ledger_offset") -> DataFrame:
+    """Commit a batch: side tables first, the ledger last. What the ledger lacks did not happen, whatever the side tables hold.
+
+    ``records`` (branch, event order ``ord``, payload) are chained to the branch's head; committing a batch again changes nothing. Returns the batch as it is in the ledger.
+    """
+    spark = records.sparkSession
+    target = f"{path}/ledger"
+    for name, rows in side.items():
+        append_records(rows, f"{path}/{name}", batch_id)
+    before = spark.read.parquet(target).where(F.col("batch_id") < batch_id) if _exists(spark, target) else None
+    heads = before.groupBy(branch).agg(F.max(F.struct(offset, "record_hash")).alias("head")).select(F.col(branch).alias("_b"), "head") if before is not None else None
+    d = records.join(heads, records[branch] == heads["_b"], "left").drop("_b") if heads is not None else records.withColumn("head", F.lit(None).cast(f"struct<{offset}: bigint, record_hash: string>"))
+    d = d.select(branch, "ord", "payload", F.coalesce(F.col(f"head.{offset}"), F.lit(0)).alias("_at"), F.coalesce("head.record_hash", F.lit(GENESIS)).alias("_head"))
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        at, head, out = int(rows["_at"].iloc[0]), rows["_head"].iloc[0], []
+        for b, payload in zip(rows[branch], rows["payload"]):
+            at, own = at + 1, ledger.link_text(head, payload)
+            out.append((b, at, payload, head, own))
+            head = own
+        return pd.DataFrame(out, columns=[branch, offset, "payload", "prev_record_hash", "record_hash"])
+
+    kind = records.schema[branch].dataType.simpleString()
+    chained = d.groupBy(branch).applyInPandas(chain, f"{branch} {kind}, {offset} long, payload string, prev_record_hash string, record_hash string")
+    append_records(chained, target, batch_id)
+    return spark.read.parquet(target).where(F.col("batch_id") == batch_id)
+
+
+def append_trace(trace: DataFrame, path: str, step: str, line: Column, order: list[str]) -> DataFrame:
+    """Append a trace as CSV with a header and return each step's hash, which its ledger record carries."""
+    trace.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return trace_hash(trace, step, line, order)
+
+
+def forensic_copy(spark: SparkSession, path: str, folder: str) -> str:
+    """A byte copy of a file or folder under the next free number; copies are never overwritten."""
+    fs, hadoop = _file_system(spark, path)
+    name, number = path.rstrip("/").rsplit("/", 1)[-1], 1
+    while fs.exists(hadoop.fs.Path(f"{folder}/{name}.{number:03d}")):
+        number += 1
+    target = f"{folder}/{name}.{number:03d}"
+    hadoop.fs.FileUtil.copy(fs, hadoop.fs.Path(path), fs, hadoop.fs.Path(target), False, spark.sparkContext._jsc.hadoopConfiguration())
+    return target
+
+
+class RunLog:
+    """A log of lines with their time, written through at once; checks are PASS or FAIL lines."""
+
+    def __init__(self, out: TextIO) -> None:
+        self.out = out
+
+    def log(self, text: str) -> None:
+        self.out.write(f"{datetime.datetime.now(datetime.UTC).isoformat(timespec='milliseconds')} {text}\n")
+        self.out.flush()
+
+    def check(self, name: str, ok: bool) -> bool:
+        self.log(f"{'PASS' if ok else 'FAIL'} {name}")
+        return ok
+
+
+def markdown(evidence: DataFrame) -> str:
+    """The verifier's rows as a table for people; a requirement passes if all of its checks do."""
+    rows = evidence.orderBy("requirement", "check").collect()
+    out = ["| Requirement | Check | Checked | Violations | Result |", "|---|---|---|---|---|"]
+    out += [f"| {r.requirement} | {r.check} | {r.n_checked} | {r.n_bad} | {'PASS' if r.ok else 'FAIL'} |" for r in rows]
+    failed = sorted({r.requirement for r in rows if not r.ok})
+    return "\n".join([*out, "", "All requirements pass." if rows and not failed else f"Failed: {', '.join(failed) or 'nothing was checked'}.", ""])
