@@ -34,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,23 +45,6 @@ from curator.scratch import discard, materialize
 WINDOW, ROUNDS = 35, 4
 #: Odd multipliers that keep the parts of a name apart.
 LEFT, RUN, SECOND = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0x165667B19E3779F9)
-#: Words whose names a worker remembers, and the longest of them in bytes; the memo is emptied when full.
-MEMO, REMEMBERED = 250_000, 64
-
-
-class Names(dict):
-    """The name of each word: 64 bits of its BLAKE2b digest."""
-
-    def __missing__(self, word: bytes) -> int:
-        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= REMEMBERED:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = name
-        return name
-
-
-NAMES = Names()
 
 
 class Text:
@@ -75,7 +59,7 @@ class Text:
 
     def names(self) -> np.ndarray:
         rows = [self.data[a:b].split() for a, b in zip(self.off.tolist(), self.off[1:].tolist())]
-        return np.fromiter(map(NAMES.__getitem__, chain.from_iterable(rows)), U64, len(self.start))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(rows)), U64, len(self.start))
 
     def digests(self, at: np.ndarray, n: np.ndarray | int, keys: list[bytes] | None = None) -> list[bytes]:
         """Of ``n`` words from each of ``at`` on, joined by one space, under ``keys`` where given."""
