@@ -282,6 +282,17 @@ SQL = {
     "opus_scores": f"WITH {CAND} SELECT idx, step, lane, round(score, 6) AS score FROM c0",
     "opus_decide": f"WITH {CAND} SELECT * FROM dec",
     "opus_floor_overrides": f"WITH {CAND} SELECT step, lane, idx FROM dec WHERE reason = 'protected_floor_override'",
+    # a step takes five, the queue first; two are accepted and the third waits if it may
+    "deferral_fate": f"""WITH RECURSIVE {CAND}, cs AS (SELECT label, list({{'i': idx, 's': score, 'd': 0}} ORDER BY idx) AS cs FROM sc GROUP BY label),
+        pl AS (SELECT label, 0 AS step, cs[1:0] AS q, 1::BIGINT AS nxt, []::STRUCT(i BIGINT, st VARCHAR)[] AS made FROM cs
+               UNION ALL
+               SELECT label, step + 1, rest || CASE WHEN waits THEN [{{'i': o[3].i, 's': -o[3].k, 'd': o[3].d + 1}}] ELSE q[1:0] END, nxt,
+                      list_transform(range(1, len(o) + 1), lambda j: {{'i': o[j].i, 'st': CASE WHEN j <= 2 THEN 'accepted' WHEN j = 3 AND waits THEN 'deferred' ELSE 'rejected' END}})
+               FROM (SELECT *, len(o) >= 3 AND o[3].d < 2 AND len(rest) < 6 AS waits
+               FROM (SELECT label, step, q, q[6:] AS rest, nxt + 5 - least(5, len(q)) AS nxt, list_sort(list_transform(q[1:5] || cs[nxt : nxt + 4 - least(5, len(q))], lambda x: {{'k': -x.s, 'i': x.i, 'd': x.d}})) AS o
+                     FROM pl JOIN cs USING (label) WHERE len(q) > 0 OR nxt <= len(cs)))),
+        ea AS (SELECT label, step, unnest(made) AS m FROM pl)
+        SELECT label, m.i AS idx, string_agg(m.st, ',' ORDER BY step) AS fate FROM ea GROUP BY ALL""",
     "decisions_by_lane": f"WITH {CAND} SELECT lane, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'deferred') AS deferred, count(*) FILTER (WHERE status = 'rejected') AS rejected, round(count(*) FILTER (WHERE status = 'rejected') / count(*), 6) AS rejection_rate FROM dec GROUP BY lane",
     "audit_q3_before_jump": f"WITH {JUMP}, {CAND} SELECT (jp.step % 20)::INTEGER AS spike, dec.step, lane, idx FROM jp JOIN dec ON dec.step BETWEEN jp.step % 20 - 2 AND jp.step % 20 WHERE branch = 0 AND status = 'accepted'",
     "audit_q4_review": f"""WITH {CAND}, c AS (SELECT lane, idx, max((status = 'accepted')::INT) AS a, max((status = 'deferred')::INT) AS d FROM dec GROUP BY ALL)
