@@ -50,8 +50,13 @@ def n_words(text: Column) -> Column:
 
 def redact(text: Column) -> tuple[Column, Column, Column]:
     """The text with e-mail addresses, then phone numbers replaced, and the number of each."""
-    one = F.regexp_replace(text, EMAIL, "<EMAIL>")
-    return F.regexp_replace(one, PHONE, "<PHONE>"), F.regexp_count(text, F.lit(EMAIL)), F.regexp_count(one, F.lit(PHONE))
+    # most texts have neither an at sign nor five digits in a row, which is found out faster than what the patterns look for
+    at = F.contains(text, F.lit("@"))
+    one = F.when(at, F.regexp_replace(text, EMAIL, "<EMAIL>")).otherwise(text)
+    digits = one.rlike("[0-9]{5}")
+    emails = F.when(at, F.regexp_count(text, F.lit(EMAIL))).otherwise(F.when(text.isNotNull(), 0))
+    phones = F.when(digits, F.regexp_count(one, F.lit(PHONE))).otherwise(F.when(text.isNotNull(), 0))
+    return F.when(digits, F.regexp_replace(one, PHONE, "<PHONE>")).otherwise(one), emails, phones
 
 
 def script_of(text: Column) -> Column:

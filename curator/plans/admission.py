@@ -59,9 +59,12 @@ def eval_fingerprints(spark, sf):
     return A.eval_fingerprints(table(spark, sf, "benchmark")).select("k", "h")
 
 
+def worded(docs):
+    return docs.select("doc_id", T.words(F.col("text")).alias("w"))
+
+
 def contamination_hits(spark, sf):
-    d = documents(spark, sf).select("doc_id", T.words(F.col("text")).alias("w"))
-    return A.contamination_hits(d, A.eval_fingerprints(table(spark, sf, "benchmark")))
+    return A.contamination_hits(documents(spark, sf).select("doc_id", "text"), A.eval_fingerprints(table(spark, sf, "benchmark")), worded)
 
 
 def unk_rate_vocab(spark, sf):

@@ -11,6 +11,7 @@ from curator.operators import mixture as M
 from curator.operators import selection as S
 from curator.operators import tokens as K
 from curator.plans.admission import FP, HITS, RED1, W
+from curator.plans.admission import worded as words_of
 from curator.plans.tables import documents, table, values
 
 SEED, VOCABULARY, SPAN = 1234, 10_000, 64
@@ -82,7 +83,7 @@ def content_gate_spans(spark, sf):
 
 def contaminated(spark, sf):
     """(doc_id, source) of documents with a benchmark's n-gram."""
-    hits = A.contamination_hits(worded(spark, sf), A.eval_fingerprints(table(spark, sf, "benchmark"))).select(F.col("doc_id").alias("of"))
+    hits = A.contamination_hits(documents(spark, sf).select("doc_id", "text"), A.eval_fingerprints(table(spark, sf, "benchmark")), words_of).select(F.col("doc_id").alias("of"))
     return documents(spark, sf).select("doc_id", "source").join(hits, F.col("doc_id") == F.col("of")).drop("of")
 
 

@@ -64,7 +64,7 @@ def firewall(e: checks.Evidence, spark, sf) -> None:
     b = table(spark, sf, "benchmark")
     fp = materialize(A.eval_fingerprints(b), "fingerprints")
     d = documents(spark, sf).select("doc_id", "text")
-    bad = materialize(A.contamination_hits(d.select("doc_id", T.words(F.col("text")).alias("w")), fp).select("doc_id"), "contaminated")
+    bad = materialize(A.contamination_hits(d, fp, admission.worded).select("doc_id"), "contaminated")
     admitted = d.join(bad, "doc_id", "left_anti")
     spans = lambda x: gates.spans_of_words(x.select("doc_id", T.words(F.col("text")).alias("w")), G.SPAN)
     e.count("R02 firewall", "no span of an admitted document", lambda: spans(admitted), lambda x: gates.content_violations(x, fp))
