@@ -19,9 +19,15 @@ MAP_BITS = 16, 28
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch. It sets the session's limits of a batch to ``BATCH``."""
+    """``mapInArrow`` with a function of one batch.
+
+    Spark reads the limits of a batch from the session when the plan runs, so they are lowered there to ``BATCH`` where they are higher, and stay so.
+    """
+    conf = df.sparkSession.conf
     for key, most in BATCH.items():
-        df.sparkSession.conf.set(key, str(most))
+        now = conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

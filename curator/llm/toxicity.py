@@ -8,7 +8,7 @@ to the sentences that already look worst, in one labelled 0 all sentences are pu
 same weights say which sentences offend.
 
 Learning takes a bounded sample: of each label the rows with the smallest hash of doc_id, at most ``positives`` and
-``negatives``. Sentences are split and hashed on the executors, and features are chosen there: those in at least
+``negatives``, and ``SAMPLE_CHARS`` of their texts. Sentences are split and hashed on the executors, and features are chosen there: those in at least
 ``LEAST_DOCUMENTS`` sampled documents that are ``LIFT`` times as frequent in documents labelled 1 as in the others. The
 driver sees chosen features only.
 
@@ -32,6 +32,8 @@ from curator.llm.spread import hash_bound, map_arrow
 from curator.scratch import materialize
 
 BITS, POSITIVES, NEGATIVES, LEAST_DOCUMENTS, LIFT = 20, 2500, 5000, 4, 3.0
+#: Characters of the sample's texts of a label, but for the last.
+SAMPLE_CHARS = 32_000_000
 #: Bytes of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6)
 STEPS, RATE, L1, INTERCEPT = 150, 1.0, 0.5, -9.0
@@ -103,6 +105,9 @@ def learn(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, n
     d = documents.select("doc_id", "text").where("text is not null")
     d = d.join(F.broadcast(sample), d["doc_id"] == sample["_id"]).groupBy("doc_id", "text", "toxic").agg(F.lit(1).alias("one"))
 
+    # the least hashes of each label, as long as their texts are no more than SAMPLE_CHARS together
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("before") < SAMPLE_CHARS).select("doc_id", "text", "toxic")
     d = materialize(d, "toxicity-sample")
     totals = {r.toxic: r["count"] for r in d.groupBy("toxic").count().collect()}
 

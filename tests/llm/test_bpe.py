@@ -64,3 +64,8 @@ def test_cases(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got if r.doc_id in (1, 2)} == {(0, empty, empty)}
     assert m.encode_and_decode(docs(spark, []), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_clashing_columns(spark):
+    d = docs(spark, [(1, "a b"), (2, None)]).selectExpr("*", *[f"1 as {c}" for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")])
+    assert sorted((r.doc_id, r.n_tokens) for r in m.encode_and_decode(d, PATH, public_tokenizers.PATTERN, keep_ids=True).collect()) == [(1, 2), (2, 0)]

@@ -7,7 +7,7 @@ import corpus_pipeline
 from curator.llm import decontaminate, language
 from curator.llm.bpe import read_ranks
 from tests.llm.common import SF
-from tests.llm.test_simhash import brute
+from tests.llm.test_similar import brute
 
 
 def test_run_matches_brute_force(spark):
@@ -22,7 +22,7 @@ def test_run_matches_brute_force(spark):
     for i, t in docs.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", "", t), []).append((-len(t), i))
     docs = {i: docs[i] for i in (min(g)[1] for g in groups.values())}
-    docs = {c: docs[c] for _, _, c in brute(list(docs.items()))}
+    docs = {i: docs[i] for i, first in brute(list(docs.items())) if i == first}
     pieces = decontaminate.Pieces.of([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     docs = {i: t for i, t in docs.items() if not list(decontaminate.regions([t], pieces))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY)), special_tokens={})
