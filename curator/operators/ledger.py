@@ -7,6 +7,7 @@ every record is compared with its neighbour, and the first that fails ends the v
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from curator.functions.hashing import GENESIS, fold_hashes
+from curator.functions.hashing import GENESIS
+from curator.operators.sized import small
 
 
 class LedgerError(Exception):
@@ -31,36 +33,58 @@ def link_text(prev: str, payload: str) -> str:
     return hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
 
 
+def in_order(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: StructType) -> DataFrame:
+    """A fold over each ``key`` in ``order``: a task reads its keys' rows sorted, a batch at a time, and holds the state and one batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, start()
+        for batch in batches:
+            for value, part in batch.groupby(key, sort=False):
+                if at is None or value != at:
+                    at, state = value, start()
+                state, out = step(state, part)
+                if len(out):
+                    yield out
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
 def build(records: DataFrame, branch: str = "branch", offset: str = "ledger_offset", genesis: str = GENESIS) -> DataFrame:
     """``records`` (branch, offset, payload) with prev_record_hash and record_hash; a branch is chained in one pass."""
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(offset)
-        before, own, h = [], [], genesis
+    def chain(head: str, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        before, own = [], []
         for payload in rows["payload"]:
-            before.append(h)
-            h = link_text(h, payload)
-            own.append(h)
-        return rows.assign(prev_record_hash=before, record_hash=own)
+            before.append(head)
+            head = link_text(head, payload)
+            own.append(head)
+        return head, rows.assign(prev_record_hash=before, record_hash=own)
 
     schema = StructType([*records.schema.fields, StructField("prev_record_hash", StringType()), StructField("record_hash", StringType())])
-    return records.groupBy(branch).applyInPandas(chain, schema)
+    return in_order(records, branch, offset, lambda: genesis, chain, schema)
 
 
 def checked(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_offset", genesis: str = GENESIS, first: int = 1) -> DataFrame:
-    """``ledger`` with ``bad``: wrong predecessor, wrong own hash, or a gap in offsets."""
-    w = Window.partitionBy(branch).orderBy(offset)
-    before, at = F.coalesce(F.lag("record_hash").over(w), F.lit(genesis)), F.coalesce(F.lag(offset).over(w), F.lit(first - 1))
-    bad = (F.col("prev_record_hash") != before) | (F.col("record_hash") != link(F.col("prev_record_hash"), F.col("payload"))) | (F.col(offset) != at + 1)
-    return ledger.withColumn("bad", F.coalesce(bad, F.lit(True)))
+    """``ledger`` with ``bad``: wrong predecessor, wrong own hash, a gap before it, or an offset that occurs twice.
+
+    A record meets its predecessor by its offset, so a branch is checked by as many tasks as there are.
+    """
+    each = ledger.groupBy(F.col(branch).alias("_b"), F.col(offset).alias("_o")).agg(F.min("record_hash").alias("_hash"), F.count("*").alias("_n"))
+    before = each.select(F.col("_b").alias("_pb"), (F.col("_o") + 1).alias("_po"), F.col("_hash").alias("_before"))
+    near = each.join(before, (F.col("_b") == F.col("_pb")) & (F.col("_o") == F.col("_po")), "left").select("_b", "_o", "_n", "_before")
+    j = ledger.join(near, (F.col(branch) == F.col("_b")) & (F.col(offset) == F.col("_o")), "left")
+    due = F.when(F.col(offset) == first, F.lit(genesis)).otherwise(F.col("_before"))
+    bad = (F.col("prev_record_hash") != due) | (F.col("record_hash") != link(F.col("prev_record_hash"), F.col("payload"))) | (F.col("_n") > 1) | (F.col(offset) < first)
+    return j.select(*ledger.columns, F.coalesce(bad, F.lit(True)).alias("bad"))
 
 
 def verify(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_offset", **more) -> DataFrame:
     """(branch, n_records, first_bad, n_valid): records from the first bad one on are not trusted."""
     c = checked(ledger, branch, offset, **more)
-    c = c.withColumn("first_bad", F.min(F.when(F.col("bad"), F.col(offset))).over(Window.partitionBy(branch)))
+    ends = small(c.groupBy(F.col(branch).alias("_b")).agg(F.min(F.when(F.col("bad"), F.col(offset))).alias("first_bad")))  # a row for each branch
     valid = F.count(F.when(F.col("first_bad").isNull() | (F.col(offset) < F.col("first_bad")), 1))
-    return c.groupBy(branch, "first_bad").agg(F.count("*").alias("n_records"), valid.alias("n_valid")).select(branch, "n_records", "first_bad", "n_valid")
+    g = ledger.join(ends, F.col(branch).eqNullSafe(F.col("_b"))).groupBy(branch, "first_bad").agg(F.count("*").alias("n_records"), valid.alias("n_valid"))
+    return g.select(branch, "n_records", "first_bad", "n_valid")
 
 
 def valid_prefix(ledger: DataFrame, branch: str = "branch", offset: str = "ledger_offset", **more) -> DataFrame:
@@ -108,10 +132,16 @@ def truncate(side: DataFrame, step: str, most: int) -> DataFrame:
 
 
 def stream_fingerprint(batches: DataFrame, branch: str, order: str, genesis: str = GENESIS) -> DataFrame:
-    """(branch, fingerprint): fold of (batch id, batch hash) in order."""
-    parts = F.array_sort(F.collect_list(F.struct(order, "batch_hash")))
-    each = F.transform(parts, lambda x: F.concat_ws(":", x[order].cast("string"), x["batch_hash"]))
-    return batches.groupBy(branch).agg(fold_hashes(each, F.lit(genesis)).alias("fingerprint"))
+    """(branch, fingerprint): fold of (batch id, batch hash) in order. The fold after each batch is the running fingerprint; the last is the branch's."""
+
+    def fold(state: str, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        for batch, h in zip(rows[order], rows["batch_hash"]):
+            state = link_text(state, f"{batch}:{h}")
+        return state, pd.DataFrame({branch: [rows[branch].iloc[0]], "at": [rows[order].iloc[-1]], "fingerprint": [state]})
+
+    schema = StructType([batches.schema[branch], StructField("at", batches.schema[order].dataType), StructField("fingerprint", StringType())])
+    running = in_order(batches.select(branch, order, "batch_hash"), branch, order, lambda: genesis, fold, schema)
+    return running.groupBy(branch).agg(F.max_by("fingerprint", "at").alias("fingerprint"))
 
 
 def batch_hashes(ledger: DataFrame, branch: str, batch: Column, offset: str = "ledger_offset") -> DataFrame:

@@ -10,6 +10,7 @@ from curator.operators import audit as Q
 from curator.operators import ledger as L
 from curator.operators import packing as P
 from curator.operators import selection as S
+from curator.operators.sized import running_sum
 from curator.plans import packing
 from curator.plans.tables import table
 
@@ -21,8 +22,8 @@ def records(spark, sf):
     """Events as records: branch, offset in the order of time, canonical payload."""
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
     e = e.withColumn("branch", F.col("user_id") % 4)
-    w = Window.partitionBy("branch").orderBy("ts", "event_id")
-    e = e.withColumn("ledger_offset", F.row_number().over(w).cast("long")).withColumn("step", F.floor((F.col("ledger_offset") - 1) / STEP).cast("long"))
+    e = running_sum(e, ["branch"], [F.col("ts"), F.col("event_id")], F.lit(1), F.date_trunc("hour", "ts"), "before")
+    e = e.withColumn("ledger_offset", F.col("before") + 1).drop("before").withColumn("step", F.floor((F.col("ledger_offset") - 1) / STEP).cast("long"))
     return e.withColumn("payload", canonical_json(branch=F.col("branch"), cents=F.col("cents"), event_id=F.col("event_id"), event_type=F.col("event_type"))).drop("ts")
 
 

@@ -84,7 +84,8 @@ def ledger_file(spark: SparkSession, path: str, schema: T.StructType = LEDGER_LI
     """
     f = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
     lines = f.select("path", F.posexplode(F.split("t", "\n")).alias("i", "line"), (F.size(F.split("t", "\n")) - 1).alias("n"))
-    records = lines.where("i < n and line <> ''").select("path", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    whole = F.when((F.col("i") < F.col("n")) & (F.col("line") != ""), F.col("line"))  # also where a filter is asked later than the parser
+    records = lines.where("i < n and line <> ''").select("path", F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     torn = lines.where("i = n and line <> ''").select("path", F.octet_length("line").alias("torn_bytes"))
     return records, torn
 
