@@ -33,11 +33,6 @@ def order_key(*parts: Column) -> Column:
     return F.substring(sha(*parts), 1, 16)
 
 
-def fold_hashes(hashes: Column, genesis: Column) -> Column:
-    """Left fold of an ordered array: h becomes the hash of h and the next element."""
-    return F.aggregate(hashes, genesis, lambda h, x: F.sha2(F.concat_ws("|", h, x), 256))
-
-
 def array_bytes(values, dtype: str) -> bytes:
     """An array's bytes in a fixed little-endian type, behind its shape."""
     a = np.asarray(values, dtype=np.dtype(dtype).newbyteorder("<"))

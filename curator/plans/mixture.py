@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curator.operators import mixture as M
+from curator.operators import selection as S
 from curator.plans import packing
 from curator.plans.tables import values
 
@@ -77,6 +78,21 @@ def rounding_bounds(spark, sf):
     return last.select("segment", "lane", F.round((F.col("cum_target") - F.col("cum_positions")) / F.col("row_len"), 6).alias("rows_behind"))
 
 
+def candidate_counts(spark, sf):
+    """How many candidates each lane draws at each step: a selector sees 1/keep times its quota."""
+    keep = F.create_map(*[x for k, v in M.default_plan().keep.items() for x in (F.lit(k), F.lit(v))])
+    s = schedule(spark).withColumn("mode", S.lane_mode(F.col("lane"), F.col("stage"), ["indic", "reasoning", "agentic"], M.default_plan().keep))
+    return s.select("step", "lane", "mode", S.n_candidates(F.col("quota"), F.col("mode"), F.coalesce(keep[F.col("lane")], F.lit(1.0))).alias("n_candidates"))
+
+
+def learning_rates(spark, sf):
+    """The learning rate's factor and the phase of every step: four steps of warm-up, the annealing steps going down."""
+    p = M.default_plan()
+    anneal = p.stages[-1]
+    rows = [(s, round(M.lr_factor(s, 4, anneal.start, anneal.end - anneal.start + 1), 6), M.phase_of(s, anneal.start - 1)) for s in range(1, anneal.end + 1)]
+    return values(spark, rows, "step int, factor double, phase string")
+
+
 def stage_shares(spark, sf):
     """Planned and actual percent of each stage and lane."""
     s = schedule(spark).withColumn("positions", F.col("quota") * F.col("row_len"))
@@ -172,6 +188,9 @@ SQL = {
     "subpool_quotas": f"WITH RECURSIVE {QUOTAS}, {SUBPOOLS} SELECT step, lane, band, n::INTEGER AS rows FROM sub_rows WHERE n > 0",
     "floor_compliance": f"WITH RECURSIVE {QUOTAS} SELECT step, lane, done AS actual, total, done >= own / 100 * total - 1e-6 AS holds FROM quota_lanes WHERE k IN (4, 5, 6) AND own > 0",
     "rounding_bounds": f"WITH RECURSIVE {QUOTAS} SELECT seg AS segment, lane, round((target - done) / row_len, 6) AS rows_behind FROM quota_lanes WHERE (k <= 3 OR k IN (4, 5, 6) AND own = 0) QUALIFY row_number() OVER (PARTITION BY seg, lane ORDER BY step DESC) = 1",
+    "candidate_counts": f"""WITH RECURSIVE {QUOTAS}, m AS (SELECT step, lane, quota, CASE WHEN stage = 'anneal' THEN 'selector_off' WHEN k IN (4, 5, 6) THEN 'always_on' WHEN lane = 'web' THEN 'selector' WHEN lane IN ('code', 'stem') THEN 'keep_all' ELSE 'bypass' END AS mode FROM quota_lanes)
+        SELECT step, lane, mode, CASE WHEN mode = 'selector' THEN ceil(quota / 0.4::DOUBLE - 1e-9) ELSE quota END::INTEGER AS n_candidates FROM m""",
+    "learning_rates": f"WITH {MIX} SELECT step, round(CASE WHEN step > 40 THEN (43 - step) / 3 ELSE least(1, step / 4) END, 6) AS factor, CASE WHEN step > 40 THEN 'anneal' WHEN step <= 40 / 3 THEN 'early' WHEN step <= 80 / 3 THEN 'mid' ELSE 'late' END AS phase FROM steps",
     "stage_shares": f"""WITH RECURSIVE {QUOTAS}, g AS (SELECT stage, lane, sum(quota * row_len)::BIGINT AS positions, round(avg(mix_pct), 6) AS planned_pct FROM quota_lanes GROUP BY stage, lane)
         SELECT *, round(100 * positions / sum(positions) OVER (PARTITION BY stage), 6) AS actual_pct FROM g""",
     "effective_mix": f"""WITH {MIX}, ramps AS (SELECT a.lane, a.lo - 1 AS r, b.pct AS q0, a.pct AS q1 FROM mix a JOIN mix b ON a.i = b.i + 1 AND a.lane = b.lane)
@@ -184,4 +203,4 @@ SQL = {
         p AS (SELECT *, (CASE WHEN available > 0 THEN ceil(wanted / available) ELSE 0 END)::BIGINT AS passes FROM w)
         SELECT *, wanted = 0 OR passes BETWEEN 1 AND 4 AS satisfiable FROM p""",
 }
-QUERIES = {f.__name__: f for f in (stage_plan, effective_mix, base_window, quota_schedule, fork_quota_diff, subpool_quotas, floor_compliance, rounding_bounds, stage_shares, supply_check)}
+QUERIES = {f.__name__: f for f in (stage_plan, effective_mix, base_window, quota_schedule, fork_quota_diff, subpool_quotas, floor_compliance, rounding_bounds, stage_shares, candidate_counts, learning_rates, supply_check)}

@@ -15,6 +15,7 @@ from curator.operators import audit, checks, gates
 from curator.operators import ledger as L
 from curator.operators import mixture as M
 from curator.operators import packing as P
+from curator.operators import selection as S
 from curator.operators import tokens as K
 from curator.operators.learning import not_in_shards
 from curator.plans import admission, learning, ledger, packing
@@ -114,6 +115,13 @@ def selection(e: checks.Evidence, spark, sf) -> None:
     e.count("R05 selection", "rows trained twice", lambda: trained.unionByName(trained.where(F.col("idx") % EVERY == 0)), lambda x: checks.trained_without_decision(decided, x), control=True)
 
 
+    c = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "label").join(c.select("idx", "score"), "idx")
+    planned = materialize(S.plan_steps(c, "label", lambda n: S.steps_to_drain(n, 2, 5)), "planned")
+    none = planned.where("false").select("idx")
+    e.count("R05 selection", "no deferred candidate is lost", lambda: planned.select("idx").distinct(), lambda x: checks.lost_deferrals(planned, none))
+    e.count("R05 selection", "a queue that is thrown away", lambda: planned.where("step = 0"), lambda x: checks.lost_deferrals(x, none), control=True)
+
+
 def ledgers(e: checks.Evidence, spark, sf) -> None:
     """Chains, recovery, replay, checkpoints and forks."""
     c = materialize(ledger.chain(spark, sf), "chain")
@@ -209,6 +217,8 @@ UNION ALL SELECT 'R05 selection', 'decisions follow from scores', count(*), 0 FR
 UNION ALL SELECT 'R05 selection', 'control: changed decisions', count(*), count(*) FILTER (WHERE idx % 50 = 0) FROM dec
 UNION ALL SELECT 'R05 selection', 'one decision for each trained row', count(*), 0 FROM dec WHERE status = 'accepted'
 UNION ALL SELECT 'R05 selection', 'control: rows trained twice', count(*) + count(*) FILTER (WHERE idx % 50 = 0), count(*) FILTER (WHERE idx % 50 = 0) FROM dec WHERE status = 'accepted'
+UNION ALL SELECT 'R05 selection', 'no deferred candidate is lost', count(*), 0 FROM sc
+UNION ALL SELECT 'R05 selection', 'control: a queue that is thrown away', sum(least(n, 5))::BIGINT, count(*) FILTER (WHERE n >= 3) FROM (SELECT count(*) AS n FROM sc GROUP BY label)
 UNION ALL SELECT 'R11 ledger', 'the chain holds', count(*), 0 FROM events
 UNION ALL SELECT 'R11 ledger', 'control: changed payloads', count(*), count(DISTINCT branch) FROM ev
 UNION ALL SELECT 'R12 checkpoints', 'checkpoints are bound to the chain', count(*), 0 FROM evn WHERE n > 150
