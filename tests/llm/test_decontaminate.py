@@ -98,3 +98,27 @@ def test_types_and_repeats_of_items_and_clashing_columns(spark):
             assert sorted((r.doc_id, r.item_id) for r in m.search(d, b, size).collect()) == [(1, one), (1, one), (1, two)]
     kept = m.keep_clean(d, b)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_items_are_asked_before_pieces_without_loss(monkeypatch):
+    items = [(i, " ".join(words(i % 9, 10 + 5 * i))) for i in range(14)] + [(20, "yes"), (21, "Paris is the capital"), (22, ""), (23, None), (24, "x" * 300)]
+    texts = []
+    for i in range(120):
+        w = (items[i % 14][1] or "").split()
+        k = i % max(1, len(w) - 13)
+        part = w[k : k + 13] if i % 3 else w
+        if i % 4 == 1:
+            part[len(part) // 2] = "replaced"
+        texts.append(" ".join([*words(500 + i, i % 40), edited(" ".join(part), i % 5, i), *words(700 + i, 20)]))
+    texts += ["yes", "", "Paris is the capital", "x" * 400, "aa"]
+    pieces = m.Pieces.of(items)
+    want = {}
+    for d, o, start, end, edits in m.regions(texts, pieces):
+        want.setdefault((d, int(pieces.item[o])), []).append((start, end, edits))
+    block = m.Block.of(items)
+    for hits in (m.HITS, 60):
+        monkeypatch.setattr(m, "HITS", hits)
+        asked = m.candidates(texts, block)
+        got = {(d, i): [x[2:] for x in m.regions([texts[d]], block.pieces(i))] for d, i in asked}
+        assert {k: sorted(v) for k, v in got.items() if v} == {k: sorted(v) for k, v in want.items()}
+    assert len(want) > 60 and len(asked) < 3 * len(want)
