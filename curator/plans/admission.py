@@ -31,6 +31,20 @@ def admission_summary(spark, sf):
     return d.groupBy("decision", F.coalesce("first_reason", F.lit("none")).alias("first_reason")).agg(F.count("*").alias("n"))
 
 
+def admission_all_gates(spark, sf):
+    """Admission with the licence list and the tokenizer's coverage switched on: all reasons against each document."""
+    unk = A.unk_rates(worded(documents(spark, sf)), A.vocabulary(worded(documents(spark, sf)), 10_000))
+    out = A.admit(documents(spark, sf), table(spark, sf, "benchmark"), LICENSES, "source", unk)
+    return out.select("doc_id", "decision", F.array_join("reasons", ";").alias("reasons"), "dup_of")
+
+
+def coverage_rejections(spark, sf):
+    """Languages and scripts of the documents that the tokenizer covers too badly."""
+    d = documents(spark, sf)
+    unk = A.unk_rates(worded(d), A.vocabulary(worded(d), 10_000)).where(F.col("unk_rate") > A.MAX_UNK_RATE).select(F.col("doc_id").alias("of"))
+    return d.select("doc_id", "lang", T.script_of(F.col("text")).alias("script")).join(unk, F.col("doc_id") == F.col("of"), "left_semi").groupBy("lang", "script").agg(F.count("*").alias("n"))
+
+
 def license_gate(spark, sf):
     d = documents(spark, sf).select("doc_id", "source")
     return d.where(~F.col("source").isin(LICENSES)).select("doc_id", F.concat(F.lit("license_not_allowed:"), F.col("source")).alias("reason"))
@@ -144,13 +158,26 @@ SELECT *, CASE WHEN dup_of IS NULL AND contamination_hits = 0 THEN 'admitted' EL
        CASE WHEN dup_of IS NOT NULL THEN 'exact_duplicate' WHEN contamination_hits > 0 THEN 'benchmark_contamination' END AS first_reason
 FROM a
 """
-
+UNK = f"""
+uw AS (SELECT doc_id, {W.format('text')} AS w FROM documents), ue AS (SELECT doc_id, unnest(w) AS word FROM uw),
+uv AS (SELECT word FROM ue GROUP BY word ORDER BY count(*) DESC, word LIMIT 10000),
+unk AS (SELECT doc_id, round(count(*) FILTER (WHERE uv.word IS NULL) / count(*), 6) > 0.01 AS bad FROM ue LEFT JOIN uv ON ue.word = uv.word GROUP BY doc_id)
+"""
+SCRIPT = "CASE WHEN m = 0 THEN 'Zyyy' " + " ".join(f"WHEN c{i} = m THEN '{n}'" for i, n in enumerate(T.SCRIPTS)) + " END"
+COUNTED = "c AS (SELECT doc_id, lang, " + ", ".join(f"len(regexp_extract_all(text, '[{chars}]')) AS c{i}" for i, chars in enumerate(T.SCRIPTS.values())) + " FROM documents), b AS (SELECT *, greatest(" + ", ".join(f"c{i}" for i in range(len(T.SCRIPTS))) + ") AS m FROM c)"
 SQL = {
+    "admission_all_gates": f"""WITH {REDACTED}, {FP}, dw AS (SELECT doc_id, {W.format('redacted')} AS w FROM red), {HITS}, {UNK},
+        j AS (SELECT r.doc_id, CASE WHEN source = 'src13' THEN 'license_not_allowed:src13' END AS a, CASE WHEN unk.bad THEN 'tokenizer_coverage' END AS b, CASE WHEN hits > 0 THEN 'benchmark_contamination' END AS c,
+                     sha256(regexp_replace(nfc_normalize(redacted), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS key FROM red r LEFT JOIN hits USING (doc_id) LEFT JOIN unk USING (doc_id)),
+        f AS (SELECT *, min(doc_id) FILTER (WHERE coalesce(a, b, c) IS NULL) OVER (PARTITION BY key) AS first_id FROM j),
+        g AS (SELECT doc_id, array_to_string(list_filter([a, b, CASE WHEN doc_id > first_id THEN 'exact_duplicate' END, c], lambda x: x IS NOT NULL), ';') AS reasons, CASE WHEN doc_id > first_id THEN first_id END AS dup_of FROM f)
+        SELECT doc_id, CASE WHEN reasons = '' THEN 'admitted' ELSE 'dropped' END AS decision, reasons, dup_of FROM g""",
+    "coverage_rejections": f"WITH {UNK}, {COUNTED} SELECT lang, {SCRIPT} AS script, count(*) AS n FROM b JOIN unk USING (doc_id) WHERE bad GROUP BY ALL",
     "admission_decisions": ADMIT,
     "admission_summary": f"SELECT decision, coalesce(first_reason, 'none') AS first_reason, count(*) AS n FROM ({ADMIT}) GROUP BY ALL",
     "license_gate": "SELECT doc_id, 'license_not_allowed:' || source AS reason FROM documents WHERE source = 'src13'",
     "redact_pii": f"WITH {REDACTED} SELECT doc_id, n_email::BIGINT AS n_email, n_phone::BIGINT AS n_phone, sha256(redacted) AS redacted_sha256 FROM red WHERE n_email + n_phone > 0",
-    "script_profile": "WITH c AS (SELECT lang, " + ", ".join(f"len(regexp_extract_all(text, '[{chars}]')) AS c{i}" for i, chars in enumerate(T.SCRIPTS.values())) + " FROM documents), b AS (SELECT *, greatest(" + ", ".join(f"c{i}" for i in range(len(T.SCRIPTS))) + ") AS m FROM c) SELECT CASE WHEN m = 0 THEN 'Zyyy' " + " ".join(f"WHEN c{i} = m THEN '{n}'" for i, n in enumerate(T.SCRIPTS)) + " END AS script, lang, count(*) AS n FROM b GROUP BY ALL",
+    "script_profile": f"WITH {COUNTED} SELECT {SCRIPT} AS script, lang, count(*) AS n FROM b GROUP BY ALL",
     "normalized_key": r"SELECT doc_id, sha256(regexp_replace(nfc_normalize(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS key FROM documents",
     "exact_dedup_first_wins": r"WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(nfc_normalize(text), '[ \t\n\v\f\r]+', ' ', 'g')) AS dup_of FROM documents) SELECT doc_id, dup_of FROM k WHERE doc_id > dup_of",
     "eval_fingerprints": f"WITH {FP} SELECT k::INTEGER AS k, h FROM fp",
@@ -172,4 +199,4 @@ SQL = {
     "documents_by_source_and_lang": "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE n_chars >= 100 GROUP BY ALL",
     "first_per_source": "WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY substr(sha256('1234|take|' || doc_id), 1, 16), doc_id)::INTEGER AS rank FROM documents) SELECT * FROM d WHERE rank <= 3",
 }
-QUERIES = {f.__name__: f for f in (admission_decisions, admission_summary, license_gate, redact_pii, script_profile, normalized_key, exact_dedup_first_wins, eval_fingerprints, contamination_hits, unk_rate_vocab, shard_admission_gate, eval_permission_gate, render_conversations, context_only_fraction, documents_by_source_and_lang, first_per_source)}
+QUERIES = {f.__name__: f for f in (admission_decisions, admission_all_gates, coverage_rejections, admission_summary, license_gate, redact_pii, script_profile, normalized_key, exact_dedup_first_wins, eval_fingerprints, contamination_hits, unk_rate_vocab, shard_admission_gate, eval_permission_gate, render_conversations, context_only_fraction, documents_by_source_and_lang, first_per_source)}
