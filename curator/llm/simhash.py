@@ -217,11 +217,16 @@ def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int | None = None)
     return dealt.mapInArrow(near, "a long, b long").where("a < b").distinct()
 
 
-def near_duplicates(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS, least: float | None = None) -> DataFrame:
     """doc_id, tie, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
-    Fingerprints are of ``size`` words' shingles; those within ``most`` bits are linked.
+    Fingerprints are of ``size`` words' shingles; those within ``most`` bits are linked. With ``least`` texts are linked instead whose shingles
+    have that similarity, which fingerprints of 64 bits cannot tell without loss (see ``curator.llm.similar``); the fingerprint is left out then.
     """
+    if least is not None:
+        from curator.llm.similar import similar_groups  # it builds on this module
+
+        return similar_groups(documents, size, least)
     rows = materialize(fingerprints(documents, size), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = materialize(components(links(nodes.select("fp"), most)), "roots")
@@ -234,9 +239,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, most: int = MOST_
     return out.select("doc_id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+def keep_one(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS, least: float | None = None) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return keep_smallest(documents, near_duplicates(documents, size, most))
+    return keep_smallest(documents, near_duplicates(documents, size, most, least))
 
 
 def keep_smallest(documents: DataFrame, grouped: DataFrame) -> DataFrame:

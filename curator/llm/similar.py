@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from curator.llm.arrow import U64, mix, slices
 from curator.llm.components import components
-from curator.llm.simhash import TILE, forest, keep_smallest, shingle_digests
+from curator.llm.simhash import TILE, forest, shingle_digests
 from curator.llm.spread import among, map_arrow
 from curator.scratch import materialize
 
@@ -241,8 +241,3 @@ def similar_groups(documents: DataFrame, size: int = SIZE, least: float = LEAST)
     ids = materialize(ids, "grouped")
     least_id = materialize(ids.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id")), "least")
     return ids.join(least_id, F.col("root") == F.col("of")).select("doc_id", "tie", "component_id")
-
-
-def keep_one_similar(documents: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """One document of each group of similar documents: the one with the smallest doc_id."""
-    return keep_smallest(documents, similar_groups(documents, size, least))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from curator.llm import similar as m
+from curator.llm.simhash import keep_one
 from tests.llm.common import SF, docs, words
 
 
@@ -69,7 +70,7 @@ def test_groups_match_all_pairs(spark, monkeypatch):
 def test_one_of_each_group_stays(spark):
     base = words(1, 200)
     near = [(7, " ".join(base)), (4, " ".join([*base[:100], "other", *base[101:]])), (9, " ".join(words(2, 200)))]
-    kept = m.keep_one_similar(docs(spark, near))
+    kept = keep_one(docs(spark, near), size=5, least=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == [4, 9]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     with pytest.raises(ValueError):
@@ -94,7 +95,7 @@ def test_parities_never_exceed_the_difference():
 def test_clashing_columns(spark):
     d = docs(spark, rows()).selectExpr("*", *[f"1 as {c}" for c in ("tie", "node", "root", "component_id", "n", "sig", "keys", "k", "of", "tile", "hot")])
     assert got(m.similar_groups(d)) == brute(rows())
-    assert m.keep_one_similar(d).columns == d.columns
+    assert keep_one(d, size=5, least=0.8).columns == d.columns
 
 
 def test_empty_table(spark):
