@@ -31,6 +31,13 @@ def behind_checkpoints(spans: DataFrame, checkpoints: DataFrame, branch: str, st
     return j.select(branch, "checkpoint", total("t").alias("tokens"), total("l").alias("loss_tokens"), total("d").alias("docs"))
 
 
+def following_checkpoint(steps: DataFrame, checkpoints: DataFrame, branch: str, step: str) -> DataFrame:
+    """``steps`` with the first checkpoint at or after each, null if none follows. A branch has few checkpoints, which travel as one array."""
+    grid = checkpoints.groupBy(F.col(branch).alias("_b")).agg(F.array_sort(F.collect_set("checkpoint")).alias("_grid"))
+    j = steps.join(F.broadcast(grid), F.col(branch) == F.col("_b"), "left")
+    return j.withColumn("checkpoint", F.array_min(F.filter("_grid", lambda x: x >= F.col(step)))).drop("_b", "_grid")
+
+
 def token_window(steps: DataFrame, branch: str, step: str, n: str, low: Column, high: Column) -> DataFrame:
     """Steps of each branch whose tokens touch [low, high) of the branch's running count. A step is one row here."""
     w = Window.partitionBy(branch).orderBy(step)

@@ -107,6 +107,13 @@ def audit_q1_behind_checkpoints(spark, sf):
     return Q.behind_checkpoints(s, c, "branch", "step")
 
 
+def following_checkpoints(spark, sf):
+    """The checkpoint that every step is first part of."""
+    s = spans(spark, sf).select("branch", "step").distinct()
+    c = s.where(F.col("step") % CHECKPOINT == 0).withColumnRenamed("step", "checkpoint")
+    return Q.following_checkpoint(s, c, "branch", "step")
+
+
 def audit_q2_token_window(spark, sf):
     s = spans(spark, sf)
     steps = s.groupBy("branch", "step").agg(F.sum("n_tokens").alias("n"))
@@ -277,6 +284,7 @@ SQL = {
         FROM (SELECT DISTINCT branch FROM rec) b JOIN ch c ON c.branch = b.branch AND c.o = 151""",
     "audit_q1_behind_checkpoints": f"""WITH {SPANS}, ck AS (SELECT DISTINCT branch, step AS checkpoint FROM sp WHERE step % 10 = 0)
         SELECT ck.branch, checkpoint, sum(n_tokens)::BIGINT AS tokens, sum(n_loss)::BIGINT AS loss_tokens, count(DISTINCT doc_id) AS docs FROM ck JOIN sp ON sp.branch = ck.branch AND sp.step <= checkpoint GROUP BY ALL""",
+    "following_checkpoints": f"WITH {SPANS}, s AS (SELECT DISTINCT branch, step FROM sp) SELECT branch, step, (SELECT min(c.step) FROM s c WHERE c.branch = s.branch AND c.step >= s.step AND c.step % 10 = 0) AS checkpoint FROM s",
     "audit_q2_token_window": f"""WITH {SPANS}, st AS (SELECT branch, step, sum(n_tokens) AS n FROM sp GROUP BY ALL), cu AS (SELECT *, sum(n) OVER (PARTITION BY branch ORDER BY step) AS e FROM st)
         SELECT shard, sum(n_tokens)::BIGINT AS tokens, sum(n_loss)::BIGINT AS loss_tokens, count(DISTINCT doc_id) AS docs FROM sp JOIN cu USING (branch, step) WHERE e > 3000 AND e - n < 9000 GROUP BY shard""",
     "loss_jump": f"WITH {JUMP} SELECT branch, step, round(jump, 6) AS jump FROM jp",
@@ -319,4 +327,4 @@ SQL = {
     "multiset_equal": f"WITH {RECORDS} SELECT 'first' AS side, count(*) AS n FROM rec WHERE branch = 1 AND event_type = 'click' HAVING count(*) > 0",
     "two_run_compare": f"WITH {RECORDS} SELECT DISTINCT branch, step AS batch, 'batch_hash' AS difference FROM recs WHERE branch = 1 AND step >= 2",
 }
-QUERIES = {f.__name__: f for f in (ledger_chain, ledger_verify, ledger_tamper_first_break, recover_to_checkpoint, orphaned_records, side_ledger_truncate, stream_fingerprint, replay_compare, fork_divergence, checkpoint_binding, audit_q1_behind_checkpoints, audit_q2_token_window, loss_jump, opus_scores, opus_decide, opus_floor_overrides, decisions_by_lane, deferral_fate, audit_q3_before_jump, audit_q4_review, audit_q5_overrides, audit_q6_report_card, audit_q7_firewall_trace, perf_metrics, perf_by_policy, latencies, top3_tokens, multiset_equal, two_run_compare, counterfactual_policies)}
+QUERIES = {f.__name__: f for f in (ledger_chain, ledger_verify, ledger_tamper_first_break, recover_to_checkpoint, orphaned_records, side_ledger_truncate, stream_fingerprint, replay_compare, fork_divergence, checkpoint_binding, audit_q1_behind_checkpoints, following_checkpoints, audit_q2_token_window, loss_jump, opus_scores, opus_decide, opus_floor_overrides, decisions_by_lane, deferral_fate, audit_q3_before_jump, audit_q4_review, audit_q5_overrides, audit_q6_report_card, audit_q7_firewall_trace, perf_metrics, perf_by_policy, latencies, top3_tokens, multiset_equal, two_run_compare, counterfactual_policies)}

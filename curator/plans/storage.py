@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from curator.functions.hashing import sha256_arrays
 from curator.operators import admission as A
 from curator.operators import ledger as L
+from curator.operators import mixture as M
 from curator.plans import learning, ledger, packing, streams
 from curator.plans.admission import FP
+from curator.plans.mixture import MIX
 from curator.plans.tables import documents, table
 from curator.scratch import materialize, shared_root
 from curator.sources import readers, writers
@@ -158,7 +160,24 @@ def set_differences(spark, sf):
     return only.unionByName(marked.exceptAll(every).select("source", F.lit("labelled_only").alias("side"))).unionByName(every.intersect(marked).select("source", F.lit("both").alias("side")))
 
 
+def document_slices(spark, sf):
+    """The second quarter of every conversation, by its shard and id."""
+    d = packing.conversation_docs(spark, sf).withColumn("shard_id", F.concat(F.lit("s"), F.col("doc_id") % 4))
+    spans = d.select("shard_id", "doc_id", F.floor(F.col("n_tokens") / 4).cast("int").alias("start"), F.floor(F.col("n_tokens") / 2).cast("int").alias("end"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return readers.document_slices(spans, d).select("doc_id", F.size("tokens").cast("long").alias("n"), total("tokens").alias("token_sum"), total("elig").alias("n_eligible"))
+
+
+def contract_scan(spark, sf):
+    """A mixture contract in YAML, row lengths given as text."""
+    text = "stages:\n" + "".join(f"  {s.name}: {{span: {s.end - s.start + 1}, seq_len: '{s.window} base; longer rows apart'}}\n" for s in M.default_plan().stages)
+    c = readers.contract(text)
+    return spark.createDataFrame([(k, v["span"], v["seq_len"]) for k, v in c["stages"].items()], "stage string, span int, seq_len int")
+
+
 SQL = {
+    "document_slices": f"WITH {packing.CONV}, n AS (SELECT doc_id, n_tokens // 4 AS a, n_tokens // 2 AS b FROM docs) SELECT n.doc_id, max(b - a) AS n, coalesce(sum(i) FILTER (WHERE i >= a AND i < b), 0)::BIGINT AS token_sum, count(*) FILTER (WHERE e AND i >= a AND i < b) AS n_eligible FROM n JOIN pos USING (doc_id) GROUP BY n.doc_id",
+    "contract_scan": f"WITH {MIX} SELECT stage, hi - lo + 1 AS span, win AS seq_len FROM stages",
     "json_lines_round_trip": "SELECT doc_id, 'web' AS source, lang AS language, sha256(text) AS text_sha256 FROM documents",
     "messages_round_trip": "SELECT conv_id, count(*) AS n_messages, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id",
     "trace_round_trip": f"WITH {learning.TRACE} SELECT step, count(*) AS n_lines, count(*) AS n_read, sha256(string_agg(conv_id || ',' || doc_offset || ',' || token, chr(10) ORDER BY conv_id, doc_offset)) AS trace_sha256 FROM tr GROUP BY step",
@@ -176,4 +195,4 @@ SQL = {
     "duplicate_keys": r"SELECT sha256(any_value(regexp_replace(nfc_normalize(text), '[ \t\n\v\f\r]+', ' ', 'g'))) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY regexp_replace(nfc_normalize(text), '[ \t\n\v\f\r]+', ' ', 'g') HAVING count(*) > 1",
     "set_differences": "WITH s AS (SELECT source, max((doc_id IN (SELECT doc_id FROM labels))::INT) AS m FROM documents GROUP BY source) SELECT source, CASE WHEN m = 1 THEN 'both' ELSE 'unlabelled_only' END AS side FROM s",
 }
-QUERIES = {f.__name__: f for f in (json_lines_round_trip, messages_round_trip, trace_round_trip, torn_ledger_scan, shard_scan, shard_store, checkpoint_scan, binary_shard_scan, committed_batches, eval_registry, manifest_validation, contract_reconciliation, policy_documents, duplicate_keys, set_differences)}
+QUERIES = {f.__name__: f for f in (json_lines_round_trip, messages_round_trip, trace_round_trip, torn_ledger_scan, shard_scan, shard_store, checkpoint_scan, binary_shard_scan, committed_batches, eval_registry, manifest_validation, contract_reconciliation, policy_documents, duplicate_keys, set_differences, document_slices, contract_scan)}

@@ -110,7 +110,7 @@ SQL = {
     "proxy_rows": f"WITH b AS (SELECT item_id, len({W.format('text')}) + 1 AS n FROM benchmark) SELECT item_id, least(n, {PROXY}) AS n_real, {PROXY} - least(n, {PROXY}) AS n_pad, n > {PROXY} AS cut FROM b",
     "row_hashes": f"WITH {ROW_ARRAYS} SELECT row_id, " + ", ".join(f"sha256(string_agg({c}::VARCHAR, ',' ORDER BY k)) AS {name}_sha256" for c, name in (("t", "tokens"), ("l", "labels"), ("m", "mask"), ("s", "segments"), ("x", "attention"))) + " FROM al GROUP BY row_id",
     "schedule_steps": f"WITH {MIX} SELECT step, 100.0::DOUBLE AS mix_pct, true AS full FROM steps",
-    "resume_run": f"""WITH {ledger.RECORDS} SELECT branch, 150::BIGINT AS checkpoint_offset, 150::BIGINT AS kept, count(*) - 150 AS orphans, count(*) - 150 AS side_dropped, 2 AS attempt, NULL AS refused, branch <> 3 AS as_declared, branch <> 3 AS as_before FROM rec GROUP BY branch""",
+    "resume_run": f"""WITH {ledger.RECORDS} SELECT branch, 150::BIGINT AS checkpoint_offset, 150::BIGINT AS kept, count(*) - 150 AS orphans, count(*) - 150 AS side_dropped, 2 AS attempt, NULL::VARCHAR AS refused, branch <> 3 AS as_declared, branch <> 3 AS as_before FROM rec GROUP BY branch""",
     "double_build": f"WITH {packing.LANED} SELECT side, count(*) AS n FROM laned, (VALUES ('first'), ('second')) t(side) WHERE doc_id = 7 AND lane IS NOT NULL GROUP BY side",
 }
 QUERIES = {f.__name__: f for f in (endless_rows, stream_cursors, pool_selection, step_row_order, proxy_rows, row_hashes, schedule_steps, resume_run, double_build)}
