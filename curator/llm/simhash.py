@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from curator.llm.arrow import U64, slices
 from curator.llm.components import components
-from curator.llm.spread import drop_rows, map_arrow
+from curator.llm.spread import drop_rows, map_arrow, release
 from curator.scratch import materialize
 
 SHINGLE, SEED, MOST_BITS, PIVOTS, TILE = 4, 42, 4, 12, 4096
@@ -212,6 +212,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int | None = None)
             if len(f) > 1:
                 x, y = (z.view(np.int64) for z in linked(f, k, most, blocks))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        release()
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(near, "a long, b long").where("a < b").distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from curator.llm.arrow import U64, mix, slices
 from curator.llm.components import components
 from curator.llm.simhash import TILE, forest, shingle_digests
-from curator.llm.spread import among, map_arrow
+from curator.llm.spread import among, map_arrow, release
 from curator.scratch import materialize
 
 SIZE, LEAST, SEED = 5, 0.8, 42
@@ -127,6 +127,8 @@ def _grouped(df: DataFrame, key: str, f, schema: str) -> DataFrame:
             held.append(b.slice(cut))
         if held:
             yield from f(pa.Table.from_batches(held))
+            held.clear()
+        release()
 
     return df.repartition(key).sortWithinPartitions(key, *(["n"] if "n" in df.columns else [])).mapInArrow(run, schema)
 

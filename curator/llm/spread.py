@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +20,13 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.executi
 MAP_BITS = 16, 28
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker is kept for later stages, which need it themselves."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch.
 
@@ -32,7 +41,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from f(batch)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 
