@@ -158,7 +158,7 @@ SQL = {
     "content_gate_spans": f"""WITH {FP}, ws AS (SELECT doc_id AS d, {W.format('text')} AS all_w FROM documents), sn AS (SELECT d, unnest(range(0, (len(all_w) + {SPAN - 1}) // {SPAN})) AS span_no, all_w FROM ws),
         dw AS (SELECT (d, span_no) AS doc_id, all_w[span_no * {SPAN} + 1 : (span_no + 1) * {SPAN}] AS w FROM sn), {HITS}
         SELECT doc_id[1] AS doc_id, doc_id[2]::INTEGER AS span_no, 'benchmark_contamination' AS reason, hits FROM hits
-        UNION ALL SELECT doc_id[1], doc_id[2], 'eval_canary', 1 FROM dw WHERE contains(array_to_string(w, ' '), 'curator eval canary 5b1d')""",
+        UNION ALL SELECT doc_id[1], doc_id[2]::INTEGER, 'eval_canary', 1 FROM dw WHERE contains(array_to_string(w, ' '), 'curator eval canary 5b1d')""",
     "source_firewall": f"""WITH {BAD}, s AS (SELECT source, count(*) AS n_docs, count(*) FILTER (WHERE doc_id IN (FROM bad)) AS nv FROM documents GROUP BY source)
         SELECT source, n_docs, CASE WHEN nv > 0 THEN 'removed' ELSE 'kept' END AS action, CASE WHEN nv > 0 THEN 'benchmark_contamination' END AS reason, nv AS n_violations FROM s""",
     "candidate_gate": f"""WITH {BAD}, c AS (SELECT (doc_id % 20)::INTEGER AS step, doc_id AS idx, doc_id * 7919 % 1000 AS score, doc_id % 3 AS deferrals, doc_id IN (FROM bad) AS stopped FROM documents),
