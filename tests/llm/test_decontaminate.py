@@ -76,7 +76,7 @@ def test_cases(spark, monkeypatch):
     b = bench(spark, [(1, item), (2, other), (3, None), (4, ""), (5, "yes"), (None, " ".join(words(9, 30)))])
     got = sorted(((r.doc_id or 0, r.item_id) for r in m.search(docs(spark, rows), b).collect()))
     assert got == [(0, 1), (1, 1), (4, 2), (5, 1), (5, 1), (6, 1), (8, 5)]
-    assert sorted((r.doc_id or 0, r.item_id) for r in m.search(docs(spark, rows), b, block_chars=100).collect()) == got
+    assert sorted((r.doc_id or 0, r.item_id) for r in m.search(docs(spark, rows), b, block_chars=300).collect()) == got
     kept = m.keep_clean(docs(spark, rows), b)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 7] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert m.search(docs(spark, []), b).collect() == [] and m.search(docs(spark, rows), bench(spark, [])).collect() == []
@@ -94,7 +94,7 @@ def test_types_and_repeats_of_items_and_clashing_columns(spark):
     d = docs(spark, [(1, item + " " + other), (2, "x")]).selectExpr("*", "1 as tie", "2 as item_id", "3 as pieces", "4 as start", "5 as edits", "6 as keep_one")
     for kind, one, two in (("int", 1, 2), ("string", "a", "b"), ("decimal(5,0)", Decimal(1), Decimal(2))):
         b = spark.createDataFrame([(one, item), (one, item), (one, other), (two, other), (two, None)], f"item_id {kind}, text string").selectExpr("*", "7 as doc_id")
-        for size in (m.BLOCK_CHARS, 50):
+        for size in (m.BLOCK_CHARS, 300):
             assert sorted((r.doc_id, r.item_id) for r in m.search(d, b, size).collect()) == [(1, one), (1, one), (1, two)]
     kept = m.keep_clean(d, b)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
