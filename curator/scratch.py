@@ -33,15 +33,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    A lost executor costs no recomputation before this point. The table is removed when the interpreter ends.
+    A lost executor costs no recomputation before this point. ``codec`` is Parquet's: large texts that are read once or twice are worth zstd. The table is removed when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
