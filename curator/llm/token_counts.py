@@ -345,6 +345,6 @@ def sample_edits(trees: DataFrame, per_document: int = 3) -> DataFrame:
 
 def count_sampled_edits(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, n_tokens_after, n_chars_after and n_encoded of every row: trees are written, then read and edited."""
-    trees = materialize(count_trees(documents, path, pattern), "count-trees")
+    trees = materialize(count_trees(documents, path, pattern), "count-trees", "zstd")
     done = apply_edits(sample_edits(trees), path, pattern, keep_trees=False)
     return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("n_chars").alias("n_chars_after"), "n_encoded")
