@@ -43,7 +43,6 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {t: b for b, t in ranks.items()}
-        self.ends: dict[bytes, int] = {}  # what a token can end in: the token itself, or -1
         self.left: dict[int, list[int]] = {}
         self.right: dict[int, list[int]] = {}
         self.built: dict[bytes, int] = {}
@@ -59,9 +58,6 @@ class Vocabulary:
             self.reach[b[-3:]] = max(self.reach.get(b[-3:], 0), len(b))
             self.left[token] = [*self.left.get(a, ()), token]
             self.right[token] = [*self.right.get(c, ()), token]
-            for i in range(1, len(b)):
-                self.ends.setdefault(b[i:], -1)
-            self.ends[b] = token
         self.longest = max(map(len, self.built), default=1)
 
     def halves(self, b: bytes, token: int) -> tuple[int, int] | None:
@@ -86,7 +82,7 @@ class Vocabulary:
         """True if no merge crosses the border of ``s`` and ``t``."""
         known = self.pairs.get((s << 20) + t)
         if known is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             known = self.pairs[(s << 20) + t] = self._apart(s, t)
         return known
@@ -117,17 +113,14 @@ class Prefixes:
         self.append(data)
 
     def _last(self, data: bytes, last: list[int], j: int) -> int:
-        get, known, found = self.v.ends.get, self.v.pairs.get, []
-        for i in range(j - 1, -1, -1):
-            t = get(data[i:j])
+        built, known = self.v.built, self.v.pairs
+        for i in range(max(0, j - self.v.reach.get(data[max(j - 3, 0) : j], 2)), j):  # it is mostly the longest
+            t = built.get(data[i:j])
             if t is None:
-                break
-            if t >= 0:
-                found.append((i, t))
-        for i, t in reversed(found):  # it is mostly the longest
+                continue
             if not i:
                 return t
-            fits = known((last[i] << 20) + t)
+            fits = known.get((last[i] << 20) + t)
             if fits or fits is None and self.v.side_by_side(last[i], t):
                 return t
         raise ValueError("the vocabulary lacks a byte")

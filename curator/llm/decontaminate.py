@@ -47,9 +47,10 @@ from curator.scratch import materialize
 Q, PIECE, LEAST, EDIT_RATE, BLOCK_CHARS = 12, 80, 30, 0.06, 4_000_000
 #: Words of a piece, and the most characters that replace one.
 RUN, OTHER = 13, 24
+#: Binary logarithms of the bit map of an item's q-grams, and of the largest of a block's.
 TABLE_BITS, BLOCK_BITS = 16, 27
 #: Items whose pieces a worker keeps.
-KEPT = 500
+KEPT = 100
 #: Shared q-grams counted at a time.
 HITS = 2_000_000
 
@@ -168,8 +169,9 @@ class Block:
         inside = p + q <= first[np.minimum(n + 1, len(first) - 1)]
         h, n, p = h[inside], n[inside], p[inside]
         order = np.argsort(h, kind="stable")
-        seen = np.zeros(1 << BLOCK_BITS - 3, np.uint8)
-        slot = (h & U64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+        bits = min(max(16, (64 * len(h)).bit_length()), BLOCK_BITS)
+        seen = np.zeros(1 << bits - 3, np.uint8)
+        slot = (h & U64((1 << bits) - 1)).astype(np.int64)
         np.bitwise_or.at(seen, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
         return cls(items, h[order], n[order].astype(np.int32), (p - first[n])[order].astype(np.int32), need, width, int(np.diff(first).max(initial=0)), seen, all_of)
 
@@ -292,7 +294,7 @@ def candidates(texts: list[str], block: Block, q: int = Q) -> list[tuple[int, in
         out |= {(d, i) for i in block.whole.get(c[int(first[d]) : int(first[d + 1])].tobytes(), ())}
 
     def maybe(h: np.ndarray) -> np.ndarray:
-        slot = (h & U64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+        slot = (h & U64(8 * len(block.seen) - 1)).astype(np.int64)
         return block.seen[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
 
     key, number = banded(*met(c, first, q, block.gram, maybe), first, block.item, block.place, block.width, block.longest)
