@@ -22,6 +22,7 @@ Cases. Null text counts as empty; a text without words has fingerprint zero and
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curator.llm.arrow import U64, slices
+from curator.llm.arrow import MIX_1, U64, mix, slices
 from curator.llm.components import components
 from curator.llm.spread import drop_rows, map_arrow, release
 from curator.scratch import materialize
@@ -179,6 +180,19 @@ def buckets(distinct: DataFrame, most: int, blocks: int) -> DataFrame:
     return rows.select("fp", F.explode(F.array(*keys)).alias("bucket"))
 
 
+def bucket_keys(fp: np.ndarray, most: int, blocks: int) -> np.ndarray:
+    """Buckets of the same kind for fingerprints at hand, where choices are so many that an expression for each would be slow: rows x choices."""
+    each = table(fp, blocks).astype(U64)
+    packed = mix(np.bitwise_or.reduce(each << (U64(4) * np.arange(PIVOTS, dtype=U64)), axis=2))  # a block's coordinates, four bits each
+    out = np.empty((len(fp), math.comb(blocks, most)), U64)
+    for k, chosen in enumerate(combinations(range(blocks), blocks - most)):
+        h = np.full(len(fp), U64(k + 1))
+        for i in chosen:
+            h = mix(h * MIX_1 + packed[:, i])
+        out[:, k] = h
+    return out
+
+
 def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int | None = None) -> DataFrame:
     """Edges (a < b) between distinct fingerprints ``fp`` that connect all pairs within ``most`` bits."""
     blocks = blocks or blocks_for(distinct.count(), most)
@@ -221,13 +235,13 @@ def links(distinct: DataFrame, most: int = MOST_BITS, blocks: int | None = None)
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS, least: float | None = None) -> DataFrame:
     """doc_id, tie, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
-    Fingerprints are of ``size`` words' shingles; those within ``most`` bits are linked. With ``least`` texts are linked instead whose shingles
-    have that similarity, which fingerprints of 64 bits cannot tell without loss (see ``curator.llm.similar``); the fingerprint is left out then.
+    Fingerprints are of ``size`` words' shingles; those within ``most`` bits are linked. With ``least`` these links are candidates, texts beyond ``most``
+    bits are searched exactly, and those are linked whose shingles have that similarity (see ``curator.llm.similar``); the fingerprint is left out then.
     """
     if least is not None:
         from curator.llm.similar import similar_groups  # it builds on this module
 
-        return similar_groups(documents, size, least)
+        return similar_groups(documents, size, least, most)
     rows = materialize(fingerprints(documents, size), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = materialize(components(links(nodes.select("fp"), most)), "roots")

@@ -1,18 +1,17 @@
 """Groups of documents whose word shingles have a Jaccard similarity of at least a given share.
 
-Method. Nothing is sampled away; each step only discards pairs that cannot be similar.
-1. Of a set of n shingles, in any order that all sets share, a similar set has one of the first ``n - ceil(least n) + 1``.
+Method. Candidates come from SimHash fingerprints and their table of pivots (``curator.llm.simhash``); an exact search adds what lies beyond their radius.
+1. Texts whose fingerprints differ in ``most`` bits or fewer are linked, all of them: each choice of two of ``most + 2`` runs of bits, with the pivots'
+   coordinates over them, is a bucket. In a bucket only sets whose sizes differ by a factor of ``least`` at most meet, and the exact distance decides.
+2. Similar sets may be further apart: at 0.8 they differ in 9.7 of 64 bits on average, with a deviation of 2.9 and no bound. For these: of a set of
+   n shingles, in any order that all sets share, a similar set has one of the first ``n - ceil(least n) + 1``.
    Order: shingles that are frequent in a part of the documents come last (a bit map of fixed size), then by hash. A poor
-   estimate of what is frequent costs time and no pairs. These first shingles are the bucket keys.
-2. Sizes of similar sets differ by a factor of ``least`` at most. A signature of parities of hashed shingles, at least as many as the set has,
-   cannot differ in more bits than the sets differ in shingles, which is at most ``(1 - least) / (1 + least)`` of both sizes together.
-   Signatures of two lengths are compared at the shorter one, to which the longer is folded.
-3. Survivors are linked to clusters, and a cluster's documents are verified by the exact similarity. A cluster with more than ``CLUSTER``
-   shingles is dealt to pairs of chunks of it, as are buckets with more than ``TILE`` documents, so that no task holds more than two chunks.
-Within buckets and clusters only a spanning forest of links is sought, so large groups do not become all of their pairs.
-
-SimHash does not serve here: sets with a similarity of 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9 and no bound, so no radius keeps all pairs, and
-one wide enough for most makes buckets that hold most fingerprints. Parities are fingerprints whose distance is bounded.
+   estimate of what is frequent costs time and no pairs. These first shingles are the keys under which sets meet that step 1 did not link.
+   A signature of parities of hashed shingles, at least as many as the set has, cannot differ in more bits than the sets differ in shingles, which
+   is at most ``(1 - least) / (1 + least)`` of both sizes together. Signatures of two lengths are compared at the shorter one, to which the longer is folded.
+3. The links of both are clusters, and a cluster's documents are verified by the exact similarity. A cluster with more than ``CLUSTER``
+   shingles is dealt to pairs of chunks of it, as are buckets with more than ``TILE`` documents (``WIDE`` fingerprints), so that no task holds more than two chunks.
+Within buckets and clusters only a spanning forest of links is sought, so large groups do not become all of their pairs. Groups do not depend on ``most``.
 
 Cases. Texts are told apart by a 64-bit hash; of n texts, about n^2 / 2^65 pairs of different ones are taken for equal. Texts of at most ``size`` words are one shingle; null texts and texts without words are equal to each other. Groups are connected
 components, so two of a group's documents may be less alike than ``least``.
@@ -30,11 +29,13 @@ from pyspark.sql import functions as F
 
 from curator.llm.arrow import U64, mix, slices
 from curator.llm.components import components
-from curator.llm.simhash import TILE, forest, shingle_digests
+from curator.llm.simhash import TILE, bucket_keys, fold, forest, shingle_digests
 from curator.llm.spread import among, map_arrow, release
 from curator.scratch import materialize
 
 SIZE, LEAST, SEED = 5, 0.8, 42
+#: Bits in which fingerprints may differ, fingerprints of a bucket that one task holds, and pairs that are compared at a time.
+MOST, WIDE, PAIRS = 10, 1 << 16, 1 << 20
 #: Bits of a signature, and shingles of a cluster, or of a chunk of it, that are verified in one task.
 FEWEST_BITS, MOST_BITS, CLUSTER = 512, 1 << 16, 1 << 19
 #: One in PART documents tells which shingles are frequent: those in OFTEN of them. SLOTS is the bit map's size, as a power of two.
@@ -44,7 +45,11 @@ EPS = 1e-9
 
 def shingles(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
     """The set of a text's shingle hashes, sorted; never empty."""
-    raw = np.frombuffer(shingle_digests((text or "").encode(), size, seed), ">u8").astype(U64)
+    return _set(shingle_digests((text or "").encode(), size, seed))
+
+
+def _set(digests: bytes) -> np.ndarray:
+    raw = np.frombuffer(digests, ">u8").astype(U64)
     return np.unique(raw) if len(raw) else np.zeros(1, U64)
 
 
@@ -133,22 +138,97 @@ def _grouped(df: DataFrame, key: str, f, schema: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *(["n"] if "n" in df.columns else [])).mapInArrow(run, schema)
 
 
+def within(bucket: np.ndarray, fp: np.ndarray, n: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, in order of ``bucket`` and ``n``, that share a bucket, have sizes ``n`` that a similarity of ``least`` allows and
+    fingerprints within ``most`` bits. Of buckets with over eight such pairs a row a forest of them."""
+    run = np.cumsum(np.append(0, bucket[1:] != bucket[:-1]))
+    longest = np.minimum((n + EPS) / least, (1 << 32) - 1).astype(np.int64)
+    meets = np.searchsorted((run << 32) + n, (run << 32) + longest, "right") - np.arange(1, len(n) + 1)
+    total, rows, links = np.cumsum(meets), np.bincount(run), np.zeros(run[-1] + 1, np.int64)
+    if not total[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + PAIRS, PAIRS))
+    for a, b in zip([0, *(cuts + 1).tolist()], (np.minimum(cuts, len(n) - 1) + 1).tolist()):
+        few = np.where(links[run[a:b]] > 8 * rows[run[a:b]], 0, meets[a:b])
+        i = np.repeat(np.arange(a, b), few)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(few) - few, few)
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= most
+        out.append((i[near], j[near]))
+        links += np.bincount(run[i[near]], minlength=len(links))
+    i, j = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+    dense = links > 8 * rows
+    keep = ~dense[run[i]]
+    at = np.flatnonzero(dense[run])
+    if not len(at):
+        return i, j
+
+    def linked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, t = at[x], at[y]
+        ok = (np.minimum(n[s], n[t]) >= least * np.maximum(n[s], n[t]) - EPS) & (np.bitwise_count(fp[s] ^ fp[t]) <= most)
+        return x[ok], y[ok]
+
+    x, y = forest(run[at], linked)
+    return np.append(i[keep], at[x]), np.append(j[keep], at[y])
+
+
+def near_fingerprints(signed: DataFrame, most: int, least: float) -> DataFrame:
+    """Links a < b that connect all nodes whose fingerprints are within ``most`` bits and whose sizes allow ``least``. signed: node, n, fp."""
+    sets = materialize(signed.groupBy("fp", "n").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    blocks = max(most + 2, 5)
+
+    def spread(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fp, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "n"))
+        keys = bucket_keys(fp.view(U64), most, blocks)
+        times = keys.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, times)), pa.array(np.repeat(n, times)), pa.array(keys.ravel().view(np.int64))], ["fp", "n", "bucket"])
+
+    keyed = map_arrow(sets.select("fp", "n"), spread, "fp long, n int, bucket long")
+    if sets.count() > WIDE:
+        hot = keyed.groupBy("bucket").count().where(F.col("count") > WIDE).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / WIDE).cast("int").alias("chunks"))
+        marked = keyed.join(materialize(hot, "hot-buckets"), F.col("bucket") == F.col("hot"), "left")
+        own = F.pmod(F.xxhash64("fp", "n"), F.col("chunks")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.xxhash64("bucket", F.least(own, o), F.greatest(own, o)))
+        keyed = marked.select("fp", "n", F.explode(F.when(F.col("chunks").isNull(), F.array("bucket")).otherwise(tiles)).alias("bucket"))
+
+    def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, fp, n = (_numpy(t, c) for c in ("bucket", "fp", "n"))
+        a, b = within(bucket, fp.view(U64), n.astype(np.int64), most, least)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[a], n[a], fp[b], n[b])], ["fp_a", "n_a", "fp_b", "n_b"])
+
+    pairs = materialize(_grouped(keyed, "bucket", link, "fp_a long, n_a int, fp_b long, n_b int").distinct(), "near-fingerprints")
+    node = lambda x: sets.select(F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}"), F.col("first").alias(x))
+    ends = pairs.join(node("a"), ["fp_a", "n_a"]).join(node("b"), ["fp_b", "n_b"])
+    equal = signed.select("node", "fp", "n").join(sets, ["fp", "n"]).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(equal).where("a < b")
+
+
 def _numpy(t: pa.Table, column: str) -> np.ndarray:
     return t.column(column).to_numpy()
 
 
-def candidates(texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+def candidates(texts: DataFrame, size: int, least: float, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Links a < b between nodes that connect all pairs that may be similar, and nodes with their numbers of shingles. texts: node, text."""
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, size))
 
     def sign(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(b, "text"):
-            sets = [shingles(t, size) for t in part.column("text").to_pylist()]
+            raw = [shingle_digests((t or "").encode(), size, SEED) for t in part.column("text").to_pylist()]
+            fp = fold(np.frombuffer(b"".join(raw), ">u8").astype(U64), np.array([len(x) // 8 for x in raw], np.int64))
+            sets = [_set(x) for x in raw]
             first = [prefix(s, least, frequent.value).view(np.int64) for s in sets]
             keys = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), np.concatenate(first))
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parities(s).tobytes() for s in sets]), keys], ["node", "n", "sig", "keys"])
+            columns = [part.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64)), pa.array([parities(s).tobytes() for s in sets]), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", "sig", "keys"])
+
+    signed = materialize(map_arrow(texts, sign, "node long, n int, fp long, sig binary, keys array<long>"), "signatures")
+    return near_fingerprints(signed, most, least).unionByName(beyond(signed, most, least)).distinct(), signed.select("node", "n")
+
 
-    signed = materialize(map_arrow(texts, sign, "node long, n int, sig binary, keys array<long>"), "signatures")
+def beyond(signed: DataFrame, most: int, least: float) -> DataFrame:
+    """Links a < b between nodes whose fingerprints differ in more than ``most`` bits: with those of ``near_fingerprints`` they connect all
+    pairs that may be similar. signed: node, n, fp, sig, keys."""
 
     def several(t: pa.Table) -> Iterator[pa.RecordBatch]:
         k, n = _numpy(t, "k"), _numpy(t, "n")
@@ -163,16 +243,26 @@ def candidates(texts: DataFrame, size: int, least: float) -> tuple[DataFrame, Da
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     tile = F.explode(F.when(F.col("chunks").isNull(), F.array(F.col("k"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.xxhash64("k", F.least(own, o), F.greatest(own, o)))))
     dealt = marked.select(tile.alias("k"), F.col("node").alias("of"))
-    rows = dealt.join(signed.select("node", "n", "sig"), dealt["of"] == signed["node"]).select("k", "node", "n", "sig")
+    rows = dealt.join(signed.select("node", "n", "fp", "sig"), dealt["of"] == signed["node"]).select("k", "node", "n", "fp", "sig")
 
     def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        k, node, n = _numpy(t, "k"), _numpy(t, "node"), _numpy(t, "n").astype(np.int64)
+        k, node, n, fp = _numpy(t, "k"), _numpy(t, "node"), _numpy(t, "n").astype(np.int64), _numpy(t, "fp").view(U64)
         sig = Signatures([np.frombuffer(x, U64) for x in t.column("sig").to_pylist()])
-        a, b = forest(k, lambda i, j: _possible(i, j, n, sig, least))
+
+        def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - EPS
+            i, j = i[keep], j[keep]
+            known = np.bitwise_count(fp[i] ^ fp[j]) <= most  # linked by their fingerprints: the forest may use them, only others are returned
+            x, y = _possible(i[~known], j[~known], n, sig, least)
+            return np.append(i[known], x), np.append(j[known], y)
+
+        a, b = forest(k, near)
+        new = np.bitwise_count(fp[a] ^ fp[b]) > most
+        a, b = a[new], b[new]
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
 
-    return _grouped(rows, "k", link, "a long, b long").where("a < b").distinct(), signed.select("node", "n")
+    return _grouped(rows, "k", link, "a long, b long").where("a < b")
 
 
 def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, sig: Signatures, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -224,16 +314,21 @@ def verified(texts: DataFrame, size: int, least: float) -> DataFrame:
     return _grouped(texts, "tile", link, "a long, b long").where("a < b").distinct()
 
 
-def similar_groups(documents: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """doc_id, tie and component_id, the smallest doc_id of the group. Groups link sets of ``size`` words' shingles whose similarity is ``least`` or more."""
+def similar_groups(documents: DataFrame, size: int = SIZE, least: float = LEAST, most: int = MOST) -> DataFrame:
+    """doc_id, tie and component_id, the smallest doc_id of the group. Groups link sets of ``size`` words' shingles whose similarity is ``least`` or more.
+
+    ``most`` is the radius of the search by fingerprints; it costs time and changes no group.
+    """
     if not 0 < least <= 1:
         raise ValueError(f"similarity {least} is not in (0, 1]")
+    if not 0 <= most <= 62:
+        raise ValueError(f"a radius of {most} bits is not in 0 to 62")
     rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     keys = materialize(rows.select("doc_id", "tie"), "similar-keys")
     marked = among(rows.select(F.col("tie").alias("node"), "text"), F.col("node"), keys.groupBy("tie").count().where("count > 1").select(F.col("tie").alias("member")), keys.count() // 2)
     # equal texts are one node; only those that may have an equal are moved
     texts = marked.where("not maybe_member").select("node", "text").unionByName(marked.where("maybe_member").select("node", "text").dropDuplicates(["node"]))
-    possible, sizes = candidates(texts, size, least)
+    possible, sizes = candidates(texts, size, least, most)
     clusters = materialize(components(possible), "clusters")
     tiles = dealt(clusters, sizes, CLUSTER).select(F.col("node").alias("dealt"), "tile")
     members = among(texts, F.col("node"), clusters.select(F.col("node").alias("member")), clusters.count()).where("maybe_member").select(F.col("node").alias("of"), "text")
