@@ -15,27 +15,23 @@ def influence(spans: DataFrame, within: Column) -> DataFrame:
 def behind_checkpoints(spans: DataFrame, checkpoints: DataFrame, branch: str, step: str) -> DataFrame:
     """(branch, checkpoint, tokens, loss_tokens, docs) of everything up to each checkpoint.
 
-    A span counts for its first checkpoint, and checkpoints are then summed in order: no span is copied to all later ones. A
-    document counts at its first span.
+    Spans are summed by step and documents counted at their first step; checkpoints lie between the steps of one running sum, so no span meets more than one of them.
     """
-    c = checkpoints.select(F.col(branch).alias("_b"), F.col("checkpoint"))
-    grid = c.groupBy("_b").agg(F.array_sort(F.collect_set("checkpoint")).alias("grid"))  # a branch's few checkpoints
-    s = spans.join(F.broadcast(grid), spans[branch] == grid["_b"])
-    at = F.array_min(F.filter("grid", lambda x: x >= F.col(step)))
-    s = s.withColumn("checkpoint", at).where("checkpoint is not null")
-    sums = s.groupBy(branch, "checkpoint").agg(F.sum("n_tokens").alias("t"), F.sum("n_loss").alias("l"))
-    first = s.groupBy(branch, "doc_id").agg(F.min("checkpoint").alias("checkpoint")).groupBy(branch, "checkpoint").agg(F.count("*").alias("d"))
-    j = c.withColumnRenamed("_b", branch).join(sums, [branch, "checkpoint"], "left").join(first, [branch, "checkpoint"], "left")
-    w = Window.partitionBy(branch).orderBy("checkpoint")
+    sums = spans.groupBy(branch, step).agg(F.sum("n_tokens").alias("t"), F.sum("n_loss").alias("l"))
+    first = spans.where("doc_id is not null").groupBy(branch, "doc_id").agg(F.min(step).alias(step)).groupBy(branch, step).agg(F.count("*").alias("d"))
+    c = checkpoints.select(branch, F.col("checkpoint").alias(step), F.lit(True).alias("c"))
+    rows = sums.unionByName(first, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).where(F.col(branch).isNotNull())
+    w = Window.partitionBy(branch).orderBy(step)  # a step's rows are peers, all of which count
     total = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0)).cast("long")
-    return j.select(branch, "checkpoint", total("t").alias("tokens"), total("l").alias("loss_tokens"), total("d").alias("docs"))
+    return rows.select(branch, F.col(step).alias("checkpoint"), total("t").alias("tokens"), total("l").alias("loss_tokens"), total("d").alias("docs"), "c").where("c").drop("c")
 
 
 def following_checkpoint(steps: DataFrame, checkpoints: DataFrame, branch: str, step: str) -> DataFrame:
-    """``steps`` with the first checkpoint at or after each, null if none follows. A branch has few checkpoints, which travel as one array."""
-    grid = checkpoints.groupBy(F.col(branch).alias("_b")).agg(F.array_sort(F.collect_set("checkpoint")).alias("_grid"))
-    j = steps.join(F.broadcast(grid), F.col(branch) == F.col("_b"), "left")
-    return j.withColumn("checkpoint", F.array_min(F.filter("_grid", lambda x: x >= F.col(step)))).drop("_b", "_grid")
+    """``steps`` with the first checkpoint at or after each, null if none follows: the last one met from the end on."""
+    c = checkpoints.select(branch, F.col("checkpoint").alias(step), F.col("checkpoint").alias("_next"))
+    rows = steps.withColumn("_is_step", F.lit(True)).unionByName(c, allowMissingColumns=True)
+    near = F.min("_next").over(Window.partitionBy(branch).orderBy(F.desc(step)))  # checkpoints of the same step are peers
+    return rows.withColumn("checkpoint", F.when(F.col(branch).isNotNull(), near)).where("_is_step").drop("_next", "_is_step")
 
 
 def token_window(steps: DataFrame, branch: str, step: str, n: str, low: Column, high: Column) -> DataFrame:
