@@ -1,36 +1,41 @@
-"""Stateful streams: a chained ledger and a deferral queue, kept per key across micro-batches."""
+"""Streams: a chained ledger, whose heads are read from what is committed, and a deferral queue as a state per key."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from curator.functions.hashing import GENESIS
+from curator.sources.writers import commit_batch
 
 CHAINED = "branch long, ledger_offset long, event_id long, prev_record_hash string, record_hash string"
 
 
-def chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Append a batch of records (event_id, payload) to the branch's chain; the state is the head and its offset."""
-    head, offset = state.get if state.exists else (GENESIS, 0)
-    rows = pd.concat(list(batches)).sort_values("order")
-    before, own = [], []
-    for payload in rows["payload"]:
-        before.append(head)
-        head = hashlib.sha256(f"{head}|{payload}".encode()).hexdigest()
-        own.append(head)
-    n = len(rows)
-    state.update((head, offset + n))
-    yield pd.DataFrame({"branch": [key[0]] * n, "ledger_offset": range(offset + 1, offset + n + 1), "event_id": rows["event_id"].tolist(), "prev_record_hash": before, "record_hash": own})
+@dataclass(frozen=True)
+class LedgerStream:
+    """A stream of records (branch, order, event_id, payload) that are chained where they are committed; the ledger's heads are the state."""
 
+    records: DataFrame
 
-def ledger_stream(records: DataFrame) -> DataFrame:
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.records.sparkSession
+
+    def writer(self, out: str) -> DataStreamWriter:
+        """Each batch is a batch of the ledger: its rows are sorted on disk and chained in order, which a function of a group's state would have to do in memory."""
+        return self.records.withColumnRenamed("order", "ord").writeStream.foreachBatch(lambda batch, number: commit_batch(batch, {}, out, number))
+
+    def read(self, out: str) -> DataFrame:
+        return self.sparkSession.read.schema(f"{CHAINED}, batch_id int").parquet(f"{out}/ledger").drop("batch_id")
+
+
+def ledger_stream(records: DataFrame) -> LedgerStream:
     """A streaming ledger of ``records`` (branch, order, event_id, payload); records come in order, batch by batch."""
-    return records.groupBy("branch").applyInPandasWithState(chain, CHAINED, "head string, last long", "append", GroupStateTimeout.NoTimeout)
+    return LedgerStream(records.select("branch", "order", "event_id", "payload"))
 
 
 QUEUED = "lane string, idx long, deferrals int, status string"
@@ -64,10 +69,10 @@ def deferral_stream(candidates: DataFrame, cap: int = 6, most: int = 2, accept:
     return candidates.groupBy("lane").applyInPandasWithState(defer(cap, most, accept), QUEUED, "ids array<long>, counts array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+def run_available(stream: DataFrame | LedgerStream, out: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there now and read the result; running it again goes on where it stopped."""
-    spark: SparkSession = stream.sparkSession
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    chained = isinstance(stream, LedgerStream)
+    writer = stream.writer(out) if chained else stream.writeStream.format("parquet").outputMode("append").option("path", out)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
+    return stream.read(out) if chained else stream.sparkSession.read.schema(stream.schema).parquet(out)
