@@ -10,11 +10,14 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curator.operators.words import limit_batches, offsets, word_counts
+
 #: Names of the control ids, in their order behind the base vocabulary.
 CONTROL = ("<eos>", "<pad>", "<system>", "<user>", "<assistant>", "<tool_call>", "<tool>")
 RULES = {"document": "words then <eos>", "turn": "marker then words", "words": "lower-cased NFC runs of letters, marks and digits"}
@@ -28,7 +31,7 @@ class TokenizerError(Exception):
 
 def ranked_words(docs: DataFrame, size: int) -> DataFrame:
     """(word, id) of the ``size`` most frequent words of ``docs.w``: a table of that many rows."""
-    counts = docs.select(F.explode("w").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
+    counts = word_counts(docs).orderBy(F.desc("count"), "word").limit(size)
     return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("count"), "word"))).select("word", "id")
 
 
@@ -60,24 +63,29 @@ class Adapter:
         return token >= self.base
 
     def encode(self, docs: DataFrame, w: str = "w", ids: str = "ids") -> DataFrame:
-        """``docs`` with the ids of its array of words ``w``, in Arrow batches and without a shuffle."""
-        known = docs.sparkSession.sparkContext.broadcast(self.ids)
+        """``docs`` with the ids of its array of words ``w``, in Arrow batches of bounded size and without a shuffle."""
+        limit_batches(docs.sparkSession)
+        held = docs.sparkSession.sparkContext.broadcast(self.words)
 
-        @F.pandas_udf("array<int>")
-        def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            get = known.value.get
-            for s in batches:
-                yield s.map(lambda words: None if words is None else [get(x, 0) for x in words])
+        @F.arrow_udf("array<int>")
+        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = pa.array(held.value, pa.string())
+            for lists in batches:
+                found = pc.fill_null(pc.add(pc.index_in(lists.flatten(), value_set=known), 1), 0)
+                yield pa.ListArray.from_arrays(pa.array(offsets(lists), pa.int32()), found, mask=pc.is_null(lists))
 
         return docs.withColumn(ids, look_up(F.col(w)))
 
     def decode(self, docs: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``docs`` with the names of its ``ids``, control tokens by name, joined by a blank."""
-        names = docs.sparkSession.sparkContext.broadcast(self.names)
-
-        @F.pandas_udf("string")
-        def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                yield s.map(lambda tokens: None if tokens is None else " ".join(names.value[t] for t in tokens))
+        limit_batches(docs.sparkSession)
+        held = docs.sparkSession.sparkContext.broadcast(self.names)
+
+        @F.arrow_udf("string")
+        def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            names = pa.array(held.value, pa.string())
+            for lists in batches:
+                spelled = pa.ListArray.from_arrays(pa.array(offsets(lists), pa.int32()), names.take(lists.flatten()), mask=pc.is_null(lists))
+                yield pc.binary_join(spelled, " ")
 
         return docs.withColumn(text, spell(F.col(ids)))

@@ -22,8 +22,7 @@ SHARD_SCHEMA = "shard_id string, tokenizer_id string, cleaning_lineage array<str
 
 
 def admission_decisions(spark, sf):
-    out = A.admit(documents(spark, sf), table(spark, sf, "benchmark"))
-    return out.drop("reasons", "redacted")
+    return A.admit(documents(spark, sf), table(spark, sf, "benchmark"), keep_text=False).drop("reasons")
 
 
 def admission_summary(spark, sf):
@@ -34,7 +33,7 @@ def admission_summary(spark, sf):
 def admission_all_gates(spark, sf):
     """Admission with the licence list and the tokenizer's coverage switched on: all reasons against each document."""
     unk = A.unk_rates(worded(documents(spark, sf)), A.vocabulary(worded(documents(spark, sf)), 10_000))
-    out = A.admit(documents(spark, sf), table(spark, sf, "benchmark"), LICENSES, "source", unk)
+    out = A.admit(documents(spark, sf), table(spark, sf, "benchmark"), LICENSES, "source", unk, keep_text=False)
     return out.select("doc_id", "decision", F.array_join("reasons", ";").alias("reasons"), "dup_of")
 
 

@@ -47,7 +47,7 @@ def tokenizer(e: checks.Evidence, spark, sf) -> None:
     d = materialize(G.worded(spark, sf), "words")
     a = K.Adapter.of(K.ranked_words(d, G.VOCABULARY))
     known = spark.createDataFrame([(w, i) for i, w in enumerate(a.words, 1)], "word string, id int")
-    by_join = A.unk_rates(d, known.select("word")).select("doc_id", "n_unk")
+    by_join = materialize(A.unk_rates(d, known.select("word")).select("doc_id", "n_unk"), "unknown")
     decoded = a.decode(a.encode(d))
     missing = F.size(F.filter(F.split("decoded", " "), lambda x: x == K.UNKNOWN)).cast("long")
     wrong = lambda x: checks.differing(x.select("doc_id", missing.alias("n_unk")), by_join, ["doc_id"])
